@@ -8,22 +8,44 @@ from pyspark.sql import DataFrame, SparkSession
 from landgrid.llm.byte_bpe import byte_bpe
 from landgrid.llm.exact_dedup import exact_dedup
 from landgrid.llm.line_rules import line_rules
+from landgrid.llm.packing import pack
 from landgrid.llm.shared import documents
+from landgrid.llm.token_counts import token_counts
+from landgrid.llm.token_files import token_files
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op6_byte_bpe": op6_byte_bpe, "op10_line_rules": op10_line_rules}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_token_files": op8_token_files,
+    "op9_packing": op9_packing,
+    "op10_line_rules": op10_line_rules,
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landgrid.session import ship
+
 SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,4 +58,4 @@ def body(text: str = "text") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
