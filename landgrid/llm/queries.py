@@ -4,20 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from landgrid.llm.byte_bpe import byte_bpe
 from landgrid.llm.exact_dedup import exact_dedup
 from landgrid.llm.line_rules import line_rules
 from landgrid.llm.packing import pack
+from landgrid.llm.quality_model import score_quality, train_quality
 from landgrid.llm.shared import documents
 from landgrid.llm.token_counts import token_counts
 from landgrid.llm.token_files import token_files
+from landgrid.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")
+    categories = {"toxic_english": F.col("toxic") * english, "toxic_other": F.col("toxic") * (1 - english), "toxic": F.col("toxic")}
+    return score_toxicity(docs, train_toxicity(docs, labels, categories, "toxic"))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, train_quality(docs))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,6 +55,8 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_model": op4_quality_model,
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_files": op8_token_files,
