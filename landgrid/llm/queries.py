@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from landgrid.llm.byte_bpe import byte_bpe
 from landgrid.llm.exact_dedup import exact_dedup
 from landgrid.llm.line_rules import line_rules
+from landgrid.llm.near_dedup import near_dedup
 from landgrid.llm.packing import pack
 from landgrid.llm.quality_model import score_quality, train_quality
 from landgrid.llm.shared import documents
@@ -41,6 +42,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_quality_model": op4_quality_model,
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_line_rules": op10_line_rules,
