@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import components
-from landgrid.llm.shared import body, written
+from landgrid.llm.shared import body, key_bitmap, written
 
 BUCKET = 1024
 MASK = (1 << 64) - 1
 DEPTH = 3
 SEEN = 300_000  # texts that a task remembers so as not to sign their copies again
 STEP = np.uint64(0x9E3779B97F4A7C15)
-MAP_BITS = 24  # of the table by which the second scan skips documents without a partner: 2 MB at most
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -306,16 +305,6 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return written(entries.join(several, "bucket"), "near-buckets")
 
 
-def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    bits = min(MAP_BITS, max(12, math.ceil(math.log2(max(1, nodes.count()))) + 4))
-    slot = nodes.select((F.col("k1").bitwiseAND(F.lit((1 << bits) - 1))).alias("bit"))
-    words = slot.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).collect()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    for word, value in words:
-        table[word] = value & MASK
-    return table, bits
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
     """One row for each document: doc_id, class_id (least id of the class), class_size, kept.
 
@@ -331,7 +320,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sigs = nodes.filter("sig is not null").select("node", "sig")
     buckets = shared_buckets(sigs.mapInArrow(_bands(k, rows), "bucket long, node long"))
     paired = written(nodes.join(buckets.select("node").distinct(), "node").select("node", "k1", "k2", "sig"), "near-paired")
-    bitmap, bits = _bitmap(paired)
+    bitmap, bits = key_bitmap(paired.select(F.col("k1").alias("key")))
     sets = df.select("t").mapInArrow(_sets(width, weighted, bitmap, bits), "k1 long, k2 long, runs binary")
     sets = sets.join(paired.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("node").agg(F.first("runs").alias("runs"))
     search = _Search(paired.select("node", "sig"), written(sets, "near-sets"), k, rows, percent)

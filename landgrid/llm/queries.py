@@ -13,6 +13,7 @@ from landgrid.llm.near_dedup import near_dedup
 from landgrid.llm.packing import pack
 from landgrid.llm.quality_model import score_quality, train_quality
 from landgrid.llm.shared import documents
+from landgrid.llm.suffix_dedup import suffix_dedup
 from landgrid.llm.token_counts import token_counts
 from landgrid.llm.token_files import token_files
 from landgrid.llm.toxicity import score_toxicity, train_toxicity
@@ -29,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, labels, categories, "toxic"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_quality(docs, train_quality(docs))
@@ -61,6 +66,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_model": op4_quality_model,
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,

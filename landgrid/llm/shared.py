@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.session import ship
 
 SPACE = r"[\x20\x09-\x0D]+"
+MAP_BITS = 24  # of a key bitmap: 2 MB at most, whatever the input
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -59,3 +62,17 @@ def body(text: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def key_bitmap(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap over the low bits of key (long), by which a scan passes over rows that a later join would drop.
+
+    It has about 16 bits for each key, up to MAP_BITS in the exponent; fuller, it only passes over fewer rows.
+    """
+    bits = min(MAP_BITS, max(12, math.ceil(math.log2(max(1, keys.count()))) + 4))
+    low = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"))
+    words = low.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).collect()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for word, value in words:
+        table[word] = value & ((1 << 64) - 1)
+    return table, bits
