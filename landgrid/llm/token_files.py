@@ -200,7 +200,7 @@ def read_token_files(spark: SparkSession, folder: str, before: dict[int, int], f
 def token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22, full: bool = False) -> DataFrame:
     """Encodes the texts, writes the files in a new folder of the shared one and reads them back."""
     spark = docs.sparkSession
-    encoded = written(encoded_documents(docs, path, end_id, id_col, text_col), "token-ids")
+    encoded = written(encoded_documents(docs, path, end_id, id_col, text_col), "token-ids", codec="zstd")
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     before = write_token_files(encoded, folder, word_encoder(path).dtype.str, shard_tokens)
     return read_token_files(spark, folder, before, full)

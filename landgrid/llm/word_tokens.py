@@ -26,18 +26,18 @@ def _visible_bytes() -> dict[int, str]:
 class WordEncoder:
     """Encodes texts by their words between white space.
 
-    What a word gives is remembered, and so is what each piece of the tokenizer's pattern gives, up to ``held`` of
-    each; words beyond Latin letters, and those that may hold a special token, go through the whole tokenizer.
+    What a word gives is remembered, up to ``held`` words, and what each piece of the tokenizer's pattern gives, up to
+    half as many; words beyond Latin letters, and those that may hold a special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, held: int = 350_000):
+    def __init__(self, path: str, held: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.size = self.dtype.itemsize
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.visible = _visible_bytes()
         self.held = held
         self.words: dict[str, bytes] = {}
@@ -65,6 +65,9 @@ class WordEncoder:
         return out
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            piece = word.lower()
+            return self.pieces.get(piece) or self._piece(piece)
         if "<|" in word or not _LATIN.fullmatch(word):
             return self._whole(word)
         found = _PIECES.findall(word.lower())
@@ -73,10 +76,10 @@ class WordEncoder:
         return b"".join([self.pieces.get(p) or self._piece(p) for p in found])
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > self.held:
+        if 2 * len(self.pieces) > self.held:
             self.pieces.clear()
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.visible)
-        ids = b"".join([t.id.to_bytes(self.size, "little") for t in self.model.tokenize(shown)])
+        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
         self.pieces[piece] = ids
         return ids
 
