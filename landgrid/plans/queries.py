@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions import codes, grid, measure, sheets, text
+from landgrid.functions import codes, grid, measure, sheets, st, text
 from landgrid.operators import features as feats
-from landgrid.operators import jobs, keyword, raster, spatial, stats
+from landgrid.operators import jobs, keyword, overlay, raster, spatial, stats
 from landgrid.plans import synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -489,3 +489,225 @@ def keyword_topk(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The rollup of category statistics with percentages."""
     return category_rollup_percent(spark, d)
+
+
+# geometry functions on polygons made from the rectangles, in integer units
+
+
+def _shaped(spark, d, n: int = 1) -> DataFrame:
+    """A layer with geom, and its envelope in degrees."""
+    layer = synth.degrees(_layer(spark, d, n))
+    return layer.withColumn("geom", st.st_make_envelope("xmin", "ymin", "xmax", "ymax"))
+
+
+def _whole(spark, d, n: int = 1) -> DataFrame:
+    """A layer with geom in integer units."""
+    return _layer(spark, d, n).withColumn("geom", st.st_make_envelope(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))))
+
+
+_WKT = "'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))'"
+_TEXT = f"WITH {L1} SELECT k, {_WKT} AS wkt FROM l1"
+
+
+@query(_TEXT)
+def wkt_roundtrip(spark, d):
+    layer = _layer(spark, d).withColumn("wkt", F.expr(_WKT))
+    return layer.select("k", st.st_as_wkt(st.st_from_wkt("wkt")).alias("wkt"))
+
+
+@query(_TEXT)
+def wkb_roundtrip(spark, d):
+    return _whole(spark, d).select("k", st.st_as_wkt(st.st_from_wkb(st.st_as_wkb("geom", little=False))).alias("wkt"))
+
+
+@query(_TEXT)
+def geojson_roundtrip(spark, d):
+    return _whole(spark, d).select("k", st.st_as_wkt(st.st_from_geojson(st.st_as_geojson("geom"))).alias("wkt"))
+
+
+@query(f"WITH {L1} SELECT k, area, length FROM l1")
+def feature_json_roundtrip(spark, d):
+    back = _whole(spark, d).withColumn("g", st.st_from_feature_json(st.st_as_feature_json("geom", 4490)))
+    return back.select("k", st.st_area("g").cast("bigint").alias("area"), st.st_length("g").cast("bigint").alias("length"))
+
+
+@query(f"WITH {L1} SELECT k, area, length FROM l1")
+def shape_roundtrip(spark, d):
+    back = _whole(spark, d).withColumn("g", st.st_from_shape(st.st_as_shape("geom")))
+    return back.select("k", st.st_area("g").cast("bigint").alias("area"), st.st_length("g").cast("bigint").alias("length"))
+
+
+@query(f"WITH {L1} SELECT k, area, length, x0, y0, x1, y1, 5 AS n_points, 2 AS dimension, 'Polygon' AS type, (x0 + x1) / 2 AS label_x, (y0 + y1) / 2 AS label_y FROM l1")
+def st_accessors(spark, d):
+    g = _whole(spark, d).select("k", "geom", st.st_envelope("geom").alias("b"), st.st_label_point("geom").alias("p"))
+    corner = (F.col(f"b.{a}").cast("bigint").alias(c) for a, c in zip(("xmin", "ymin", "xmax", "ymax"), ("x0", "y0", "x1", "y1")))
+    return g.select(
+        "k", st.st_area("geom").cast("bigint").alias("area"), st.st_length("geom").cast("bigint").alias("length"), *corner, st.st_num_points("geom").alias("n_points"),
+        st.st_dimension("geom").alias("dimension"), st.st_geometry_type("geom").alias("type"), F.col("p.x").alias("label_x"), F.col("p.y").alias("label_y"),
+    )
+
+
+def _met(spark, d) -> DataFrame:
+    """Pairs of the layers whose envelopes meet, with both geometries in integer units."""
+    a = _whole(spark, d).select("rowkey", "area", "geom", "x0", "y0", "x1", "y1")
+    b = jobs.other(_whole(spark, d, 2), rowkey="other", area="area2", geom="geom2")
+    return spatial.overlap_join(a, b)
+
+
+_BOTH = _PAIRS.replace("l1.category AS category1", "l1.area AS area1, l2.area AS area2, l1.category AS category1")
+
+
+@query(f"WITH {L1}, {L2} SELECT key1 AS rowkey, key2 AS other, overlap AS common, area1 + area2 - overlap AS joined, area1 - overlap AS rest, area1 + area2 - 2 * overlap AS either FROM ({_BOTH})")
+def st_set_operations(spark, d):
+    whole = lambda f, name: F.round(st.st_area(f("geom", "geom2"))).cast("bigint").alias(name)
+    return _met(spark, d).select("rowkey", "other", whole(st.st_intersection, "common"), whole(st.st_union, "joined"), whole(st.st_difference, "rest"), whole(st.st_sym_difference, "either"))
+
+
+_HOLD = "l2.x0 >= l1.x0 AND l2.x1 <= l1.x1 AND l2.y0 >= l1.y0 AND l2.y1 <= l1.y1"
+_HELD = "l1.x0 >= l2.x0 AND l1.x1 <= l2.x1 AND l1.y0 >= l2.y0 AND l1.y1 <= l2.y1"
+
+
+@query(f"""WITH {L1}, {L2} SELECT l1.rowkey, l2.rowkey AS other, true AS meets, {_HOLD} AS holds, {_HELD} AS held, NOT ({_HOLD}) AND NOT ({_HELD}) AS overlaps, false AS touches, false AS apart,
+    ({_HOLD}) AND ({_HELD}) AS same FROM l1 JOIN l2 ON l1.x0 < l2.x1 AND l2.x0 < l1.x1 AND l1.y0 < l2.y1 AND l2.y0 < l1.y1""")
+def st_relations(spark, d):
+    g = ("geom", "geom2")
+    return _met(spark, d).select(
+        "rowkey", "other", st.st_intersects(*g).alias("meets"), st.st_contains(*g).alias("holds"), st.st_within(*g).alias("held"), st.st_overlaps(*g).alias("overlaps"),
+        st.st_touches(*g).alias("touches"), st.st_disjoint(*g).alias("apart"), st.st_equals(*g).alias("same"),
+    )
+
+
+@query()
+def st_relate(spark, d):
+    return _met(spark, d).select("rowkey", "other", st.st_relate_matrix("geom", "geom2").alias("matrix"), st.st_relate("geom", "geom2", "T*****FF*").alias("holds"), st.st_crosses("geom", "geom2").alias("crosses"))
+
+
+_CX, _CY = 1_168_000, 398_000
+
+
+@query(f"""WITH {L1} SELECT rowkey, round(sqrt(pow(greatest(x0 - {_CX}, 0, {_CX} - x1), 2) + pow(greatest(y0 - {_CY}, 0, {_CY} - y1), 2)), 6) AS distance,
+    least(greatest({_CX}, x0), x1) AS x, least(greatest({_CY}, y0), y1) AS y FROM l1""")
+def st_distance(spark, d):
+    at = (F.lit(float(_CX)), F.lit(float(_CY)))
+    near = _whole(spark, d).select("rowkey", F.round(st.st_distance("geom", st.st_point(*at)), 6).alias("distance"), st.st_nearest_coordinate("geom", *at).alias("n"))
+    return near.select("rowkey", "distance", F.col("n.x").cast("bigint").alias("x"), F.col("n.y").cast("bigint").alias("y"))
+
+
+@query(f"WITH {L1} SELECT rowkey, round(area + length * 25 + 48 * 625 * sin(2 * pi() / 96), 3) AS area, cast(greatest(x1 - x0 - 30, 0) * greatest(y1 - y0 - 30, 0) AS double) AS shrunk FROM l1 WHERE k % 10 = 0")
+def st_buffer(spark, d):
+    layer = _whole(spark, d).filter("k % 10 = 0")
+    return layer.select("rowkey", F.round(st.st_area(st.st_buffer("geom", F.lit(25.0))), 3).alias("area"), F.round(st.st_area(st.st_buffer("geom", F.lit(-15.0))), 3).alias("shrunk"))
+
+
+@query(f"WITH {L1} SELECT rowkey, cast(2 * ceil((x1 - x0) / 40.0) + 2 * ceil((y1 - y0) / 40.0) + 1 AS int) AS n_dense, 5 AS n_plain, length AS rim FROM l1")
+def st_densify(spark, d):
+    dense = _whole(spark, d).withColumn("g", st.st_densify("geom", F.lit(40.0)))
+    return dense.select("rowkey", st.st_num_points("g").alias("n_dense"), st.st_num_points(st.st_simplify("g", F.lit(0.001))).alias("n_plain"), F.round(st.st_length(st.st_boundary("g"))).cast("bigint").alias("rim"))
+
+
+@query(f"WITH {L1} SELECT rowkey, (c - a) * (e - b) AS area FROM ({_CUT})")
+def st_clip_by_box(spark, d):
+    clipped = _whole(spark, d).select("rowkey", st.st_area(st.st_clip_by_box("geom", *(float(v) for v in AREA_INT))).cast("bigint").alias("area"))
+    return clipped.filter("area > 0")
+
+
+@query(f"WITH {L1} SELECT rowkey, 'left' AS side, ({_CX} - x0) * (y1 - y0) AS area FROM l1 WHERE x0 < {_CX} AND x1 > {_CX} UNION ALL SELECT rowkey, 'right', (x1 - {_CX}) * (y1 - y0) FROM l1 WHERE x0 < {_CX} AND x1 > {_CX}")
+def st_cut(spark, d):
+    cutter = st.st_from_wkt(F.lit(f"LINESTRING ({_CX} 0, {_CX} 2000000)"))
+    parts = _whole(spark, d).select("rowkey", F.explode(st.st_cut("geom", cutter)).alias("p")).filter("p.side <> 'uncut'")
+    return parts.select("rowkey", "p.side", F.round(st.st_area("p.geom")).cast("bigint").alias("area"))
+
+
+@query(f"WITH {L1} SELECT rowkey, area, ceil((x1 - x0) / 100.0)::bigint * ceil((y1 - y0) / 100.0)::bigint AS tiles FROM l1 WHERE k % 5 = 0")
+def st_tiles(spark, d):
+    tiles = _whole(spark, d).filter("k % 5 = 0").select("rowkey", F.explode(st.st_tiles("geom", 100.0)).alias("t"))
+    return tiles.groupBy("rowkey").agg(F.sum(st.st_area("t")).cast("bigint").alias("area"), F.count("*").alias("tiles"))
+
+
+@query()
+def st_union_agg(spark, d):
+    found = st.dissolve(_whole(spark, d), ["category"])
+    return found.select("category", F.round(st.st_area("geom")).cast("bigint").alias("area"), st.st_num_geometries("geom").alias("parts"))
+
+
+@query()
+def st_convex_hull(spark, d):
+    found = st.hulls(_whole(spark, d), ["category"])
+    return found.select("category", F.round(st.st_area("geom")).cast("bigint").alias("area"), st.st_is_convex("geom").alias("convex"))
+
+
+@query()
+def st_offset_curve(spark, d):
+    rim = _whole(spark, d).filter("k % 10 = 0").withColumn("rim", st.st_boundary("geom"))
+    return rim.select("rowkey", *(F.round(st.st_length(st.st_offset_curve("rim", F.lit(20.0), join)), 3).alias(join) for join in ("round", "bevel", "miter", "square")))
+
+
+@query()
+def geodesic_distance(spark, d):
+    layer = synth.degrees(_layer(spark, d))
+    return layer.select("k", F.round(st.st_geodesic_distance("xmin", "ymin", "xmax", "ymax"), 3).alias("metres"))
+
+
+@query()
+def ellipsoid_length(spark, d):
+    return _ringed(spark, d).select("k", F.round(measure.ellipsoid_path_length(F.col("ring")), 3).alias("metres"))
+
+
+@query()
+def gauss_kruger(spark, d):
+    layer = synth.degrees(_layer(spark, d))
+    east, north = measure.gauss_kruger(F.col("xmin"), F.col("ymin"), sheets.central_meridian("xmin"))
+    return layer.select("k", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+# overlay jobs on polygons
+
+
+def _window(spark) -> DataFrame:
+    """One polygon: a rectangle as rows of the range."""
+    a, b, c, e = AREA
+    rows = spark.range(1).select(F.lit("w").alias("id"), *(F.lit(v).alias(n) for v, n in zip((a, b, c, e), overlay.ENVELOPE)))
+    return rows.withColumn("geom", st.st_make_envelope(*overlay.ENVELOPE))
+
+
+def _units(area):
+    return F.round(area * 1e8).cast("bigint")
+
+
+@query(ORACLE_SQL["area_statistics_rect"])
+def area_statistics(spark, d):
+    found = overlay.area_statistics(_shaped(spark, d), _shaped(spark, d, 2).withColumnRenamed("region12", "region"), size=0.05)
+    return found.select("region", "category", _units(F.col("area")).alias("area"))
+
+
+@query(f"WITH {L1} SELECT substr(region12, 1, 6) AS region6, category, count(*) AS parts, cast(sum((c - a) * (e - b)) AS bigint) AS area FROM ({_CUT}) GROUP BY ALL")
+def clip_job(spark, d):
+    parts = overlay.clip(_shaped(spark, d), overlay.Range(_window(spark)))
+    return parts.groupBy("region6", "category").agg(F.count("*").alias("parts"), F.sum(_units(st.st_area("geom"))).alias("area"))
+
+
+@query(f"WITH {L1} SELECT substr(region12, 1, 6) AS region6, category, count(*) AS parts, cast(sum(round(area + length * 20 + 48 * 400 * sin(2 * pi() / 96))) AS bigint) AS area FROM l1 WHERE substr(region12, 1, 4) = '1103' GROUP BY ALL")
+def buffer_job(spark, d):
+    parts = overlay.buffer(_shaped(spark, d), overlay.Range(districts=("110300",), level=2), 0.002)
+    return parts.groupBy("region6", "category").agg(F.count("*").alias("parts"), F.sum(_units(st.st_area("geom"))).alias("area"))
+
+
+@query(f"WITH {L1}, {L2} SELECT substr(region, 1, 6) AS region6, category1, category2, cast(sum(overlap) AS bigint) AS area FROM ({_PAIRS} AND l1.category LIKE '01%') WHERE category1 <> category2 GROUP BY ALL")
+def change_detection(spark, d):
+    everywhere = overlay.Range(districts=tuple(f"1{i}0000" for i in range(10)), level=1)
+    found = overlay.change_detection(_shaped(spark, d), _shaped(spark, d, 2), everywhere, ["0100"], size=0.05)
+    return found.groupBy("region6", "category1", "category2").agg(F.sum(_units(st.st_area("geom"))).alias("area"))
+
+
+@query(f"WITH {L1} SELECT cast(sum((c - a) * (e - b)) AS bigint) AS area, count(*) AS features FROM ({_CUT})")
+def polygon_cut(spark, d):
+    found = overlay.cut_area(overlay.grid_pieces(_shaped(spark, d), 0.05), _window(spark), 0.05)
+    return found.select(_units(F.col("area")).alias("area"), "features")
+
+
+@query()
+def surface_area(spark, d):
+    cells = raster.cell_surfaces(synth.raster(spark), GRID)
+    x, y = (F.col("col") * GRID + synth.ORIGIN_X + GRID // 2) / synth.UNIT, (F.lit(synth.ORIGIN_Y + synth.SPAN - GRID // 2) - F.col("row") * GRID) / synth.UNIT
+    found = overlay.surface_area(_shaped(spark, d), cells.select("surface", x.alias("x"), y.alias("y")))
+    return found.select("region6", "category", F.round("surface", 4).alias("surface"), "cells")
