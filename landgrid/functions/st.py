@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landgrid.kernel import codecs, model, ops
+from landgrid.kernel import codecs, model, ops, projection
 from landgrid.kernel.model import Geometry
 
 G, B, S, D, I, BOOL = T.BinaryType(), T.BinaryType(), T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()  # noqa: E741
@@ -299,6 +299,23 @@ def st_affine(g, a: float, b: float, c: float, d: float, e: float, f: float) ->
     return _udf(lambda g: g.map(lambda v: (a * v[0] + b * v[1] + c, d * v[0] + e * v[1] + f, *v[2:])), G, 1, g)
 
 
+def st_to_zone(g, meridian) -> Column:
+    """Degrees to metres in the zone of a central meridian."""
+    return _udf(lambda g, m: projection.projected(g, projection.to_zone, m), G, 1, g, meridian)
+
+
+def st_from_zone(g, meridian) -> Column:
+    return _udf(lambda g, m: projection.projected(g, projection.from_zone, m), G, 1, g, meridian)
+
+
+def st_to_mercator(g) -> Column:
+    return _udf(lambda g: projection.projected(g, projection.to_mercator), G, 1, g)
+
+
+def st_from_mercator(g) -> Column:
+    return _udf(lambda g: projection.projected(g, projection.from_mercator), G, 1, g)
+
+
 # aggregates
 
 
