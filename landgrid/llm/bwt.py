@@ -18,23 +18,38 @@ def joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the suffixes' first ``depth`` symbols at least (prefix doubling)."""
+    """Places in the order of the suffixes' first ``depth`` symbols at least (prefix doubling).
+
+    A place's rank is the first row of its group of equal prefixes; only groups of several are sorted further.
+    """
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(PACKED, symbols.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for i in range(PACKED):
         key = key << np.uint64(9) | padded[i : i + n]
+    del padded
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n + depth, np.uint32)
+    rank[n:] = 0
+    rows = np.arange(n, dtype=np.int32)  # where the places still to be told apart stand
     known = PACKED
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if known >= depth or int(rank[order[-1]]) == n - 1:
+        ordered = key if len(rows) < n else key[order]
+        new = np.empty(len(rows), bool)
+        new[:1] = True
+        new[1:] = ordered[1:] != ordered[:-1]
+        first = rows[np.flatnonzero(new)]
+        rank[order[rows]] = first[np.cumsum(new) - 1] + 1
+        several = ~new
+        several[:-1] |= ~new[1:]
+        rows = rows[several]
+        if known >= depth or not len(rows):
             return order
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(0, n - known)] = rank[known:] + np.uint64(1)
-        key = rank << np.uint64(32) | ahead
+        places = order[rows]
+        key = rank[places].astype(np.uint64) << np.uint64(32) | rank[np.minimum(places.astype(np.int64) + known, n)]
+        by = np.argsort(key)
+        order[rows] = places[by]
+        key = key[by]
         known *= 2
 
 
@@ -52,19 +67,20 @@ def short_prefixes(bwt: np.ndarray, least: int) -> np.ndarray:
     """
     n = len(bwt)
     by_symbol = np.argsort(bwt, kind="stable")
-    back = np.empty(n, np.int64)  # the row of the suffix that is one symbol longer
-    back[by_symbol] = np.arange(n)
-    following, previous = np.full(n, n, np.int64), np.full(n, -1, np.int64)  # rows with the same symbol before them
+    by_symbol = by_symbol.astype(np.int32)
+    back = np.empty(n, np.int32)  # the row of the suffix that is one symbol longer
+    back[by_symbol] = np.arange(n, dtype=np.int32)
+    following, previous = np.full(n, n, np.int32), np.full(n, -1, np.int32)  # rows with the same symbol before them
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     previous[by_symbol[1:][same]] = by_symbol[:-1][same]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
+    lo, hi = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
     for _ in range(least):
         sizes = hi - lo + 1
-        ends = np.cumsum(sizes)
-        rows = np.arange(ends[-1]) + np.repeat(lo - (ends - sizes), sizes)
+        ends = np.cumsum(sizes, dtype=np.int32)
+        rows = np.arange(ends[-1], dtype=np.int32) + np.repeat(lo - (ends - sizes), sizes)
         # an interval of c w runs from the image of the first row with c to that of the last
         firsts = np.sort(back[rows[previous[rows] < np.repeat(lo, sizes)]])
         lasts = np.sort(back[rows[following[rows] > np.repeat(hi, sizes)]])

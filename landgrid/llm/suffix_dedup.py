@@ -31,7 +31,7 @@ from landgrid.llm.shared import body, key_bitmap, written
 
 GRAM = 32
 CHUNK = 3 << 20  # bytes hashed at once
-TASK_BYTES = 2 << 20
+TASK_BYTES = 1 << 20
 HOT_BYTES = 8 << 20
 POINT = np.uint64(0xD6E8FEB86659FD93)
 PLACE = np.uint64((1 << 24) - 1)
@@ -173,31 +173,35 @@ def repeated_windows(docs: DataFrame, least: int = 200, task_bytes: int = TASK_B
     # an anchor repeats where two places differ; the same place of a copy in another task is the same
     place = F.xxhash64("key", "first")
     twice = found.select("gram", place.alias("p")).groupBy("gram").agg(F.min("p").alias("a"), F.max("p").alias("b")).filter("a <> b").select("gram")
-    wanted = found.join(twice, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "windows")).alias("found"))
+    # the sides to look up are distinct keys, so that hash tables spare the sorting of the long sides
+    wanted = found.join(twice.hint("shuffle_hash"), "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "windows")).alias("found"))
     wanted = written(wanted, "suffix-wanted")
     bitmap, bits = key_bitmap(wanted.select("key"))
     texts = docs.mapInArrow(_with_text(bitmap, bits), "key long, t binary").groupBy("key").agg(F.first("t").alias("t"))
     places = written(texts.join(wanted, "key").mapInArrow(_cut(least), "key long, gram long, name long, first long, segment binary"), "suffix-places")
 
-    segments = places.groupBy("gram", "name").agg(F.count("*").alias("times"), F.max("segment").alias("segment"))
-    segments = written(segments, "suffix-segments")
-    groups = segments.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.length("segment")).alias("size"))
-    sized = segments.join(groups, "gram")
-    whole = (F.lit(0).cast("long").alias("lo"), (F.length("segment") - least).cast("long").alias("hi"))
-    alone = sized.filter("kinds = 1 and times > 1").select("gram", "name", *whole)
-    total = groups.filter("kinds > 1").agg(F.sum("size")).first()[0] or 0
+    names = places.groupBy("gram", "name").agg(F.count("*").alias("times"), F.max(F.length("segment")).alias("size"))
+    names = written(names, "suffix-names")
+    groups = written(names.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("size").alias("size"), F.max("times").alias("times")), "suffix-groups")
+    alone = names.select("gram", "name", (F.col("size") - least).cast("long").alias("hi")).join(groups.filter("kinds = 1 and times > 1").select("gram").hint("shuffle_hash"), "gram")
+    alone = alone.select("gram", "name", F.lit(0).cast("long").alias("lo"), "hi")
+    mixed = groups.filter("kinds > 1").select("gram", "size")
+    total = mixed.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, math.ceil(total / task_bytes))
-    some = sized.filter((F.col("kinds") > 1) & (F.col("size") <= hot_bytes)).select("gram", "name", "times", "segment", F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("task"))
+    segments = places.select("gram", "name", "segment").join(mixed.hint("shuffle_hash"), "gram")
+    segments = segments.groupBy("gram", "name").agg(F.count("*").alias("times"), F.max("segment").alias("segment"), F.max("size").alias("size"))
+    segments = written(segments, "suffix-segments")
+    some = segments.filter(F.col("size") <= hot_bytes).select("gram", "name", "times", "segment", F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("task"))
     some = some.groupBy("task").applyInArrow(_search(least), "gram long, name long, lo long, hi long")
     # groups beyond a task: their windows by digest
-    hot = sized.filter((F.col("kinds") > 1) & (F.col("size") > hot_bytes))
+    hot = segments.filter(F.col("size") > hot_bytes)
     each = hot.select("gram", "name", "times", "segment", F.explode(F.sequence(F.lit(0), F.length("segment") - least)).alias("lo"))
     each = each.select("gram", "name", "times", "lo", F.md5(F.expr(f"substring(segment, lo + 1, {least})")).alias("digest"))
     again = each.groupBy("gram", "digest").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", "digest")
     hot = each.join(again, ["gram", "digest"]).select("gram", "name", F.col("lo").cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"))
 
     flagged = written(alone.unionByName(some).unionByName(hot), "suffix-flagged")
-    spans = places.select("key", "gram", "name", "first").join(flagged, ["gram", "name"]).select("key", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("span"))
+    spans = places.select("key", "gram", "name", "first").join(flagged.hint("shuffle_hash"), ["gram", "name"]).select("key", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("span"))
     spans = spans.groupBy("key").agg(F.collect_list("span").alias("found"))
     both = spans.join(copies, "key", "full_outer")
     return written(both.select("key", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.when(F.col("copies") > 1, None).otherwise(F.col("found")).alias("found")), "suffix-spans")
