@@ -7,11 +7,14 @@ which about ``t = k (ln k + 2)`` have hit its weight, whatever its size, deals t
 the earliest of each; where a coordinate stays empty it waits twice as long. Two signatures agree in a coordinate with
 the probability of the documents' weighted Jaccard similarity.
 
-Documents with equal words (by a 128-bit hash) fold into one node first, named by half of the hash. Nodes that agree in all rows of a band share a bucket. Of a
-bucket, all members meet a leader; buckets that then still span several components are searched in full, where they
-are small, and split by the other bands where they are large, so that no task holds more than BUCKET signatures; what
-is large after DEPTH splits is searched in blocks. Pairs whose signatures agree in half of the coordinates at least
-are verified on their whole element sets, and the classes are the components of the verified links.
+Documents with equal words (by a 128-bit hash) fold into one node first, named by half of the hash. Nodes that agree in
+all rows of a band share a bucket. Clusters are the components of nodes of one bucket whose signatures agree in so many
+coordinates that a pair at the least similarity misses it by 4.6 standard deviations only: all members of a bucket meet
+a leader, and buckets that then still span several clusters are searched in full where they are small, and split by
+the other bands where they are large; what is large after DEPTH splits is searched in blocks. Searches give one link
+for each merger, not all pairs. Within a cluster, links are exact: inverted lists of the whole element sets give a
+node's common weight with all others at once, and the classes are the components of the pairs that reach the least
+similarity. Clusters beyond a task go to tasks by pairs of blocks.
 
 Defined cases: null and empty texts have no words and form one class, as do other texts of equal words; texts of fewer
 words than ``width`` have one run of all; rows with a null id join classes, whose id is their least other id (null
@@ -35,6 +38,8 @@ from landgrid.llm.shared import body, key_bitmap, written
 BUCKET = 1024
 MASK = (1 << 64) - 1
 DEPTH = 3
+TASK_BYTES = 8 << 20  # of element sets that a task searches
+CLUSTER_BYTES = 32 << 20  # of a cluster's element sets from which it goes to several tasks
 SEEN = 300_000  # texts that a task remembers so as not to sign their copies again
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,92 +210,145 @@ def _weights_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64)
 
 
-def similar(x: bytes, y: bytes, percent: int) -> bool:
-    """Whether the weighted Jaccard similarity of two element sets is at least so many percent."""
-    (p, wp), (q, wq) = _weights_of(x), _weights_of(y)
-    _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
-    common = int(np.minimum(wp[i], wq[j]).sum())
-    return 100 * common >= percent * (int(wp.sum()) + int(wq.sum()) - common)
+class _Merging:
+    """Components of the places 0 to n - 1 while links come in."""
 
+    def __init__(self, n: int, labels: np.ndarray | None = None):
+        self.of = np.unique(labels, return_inverse=True)[1] if labels is not None else np.arange(n)
+        self.size = np.bincount(self.of, minlength=n)
 
-def _verified(percent: int):
-    def rows(batches):
-        for batch in batches:
-            hold = [similar(x, y, percent) for x, y in zip(batch.column("runs_a").to_pylist(), batch.column("runs_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(hold, pa.bool_()))
+    def link(self, i: int, others: np.ndarray) -> list[int]:
+        """Merges i with others; those whose link merged two components."""
+        new = []
+        for j in others[self.of[others] != self.of[i]].tolist():
+            a, b = self.of[i], self.of[j]
+            if a != b:
+                self.of[self.of == b] = a
+                self.size[a] += self.size[b]
+                self.size[b] = 0
+                new.append(j)
+        return new
 
-    return rows
+    @property
+    def largest(self) -> int:
+        return int(np.argmax(self.size))
+
+
+def links(sets: list[bytes], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of element sets of at least the similarity that join them into their components (a spanning forest).
+
+    Every link between two components has an end outside the largest, so that only members outside it are compared
+    with all. block: only pairs across two blocks count.
+    """
+    n = len(sets)
+    runs, weights = map(list, zip(*map(_weights_of, sets)))
+    sizes = np.array([len(r) for r in runs])
+    total = np.array([int(w.sum()) for w in weights])
+    ids = np.unique(np.concatenate(runs), return_inverse=True)[1]
+    weight = np.concatenate(weights)
+    owner = np.repeat(np.arange(n), sizes)
+    listed = np.argsort(ids, kind="stable")
+    counts = np.bincount(ids)
+    begins = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    merging, done, found = _Merging(n), np.zeros(n, bool), []
+    while True:
+        todo = np.flatnonzero(~done & (merging.of != merging.largest)) if found or done.any() else np.arange(min(1, n))
+        if not len(todo):
+            return found
+        for i in todo.tolist():
+            if done[i] or (done.any() and merging.of[i] == merging.largest):
+                continue
+            done[i] = True
+            own = slice(ends[i] - sizes[i], ends[i])
+            lengths = counts[ids[own]]
+            last = np.cumsum(lengths)
+            places = listed[np.arange(last[-1]) + np.repeat(begins[ids[own]] - (last - lengths), lengths)] if len(last) else listed[:0]
+            common = np.bincount(owner[places], np.minimum(weight[places], np.repeat(weight[own], lengths)), minlength=n)
+            near = 100 * common >= percent * (total[i] + total - common)
+            if block is not None:
+                near &= block != block[i]
+            near[i] = False
+            found += [(i, j) for j in merging.link(i, np.flatnonzero(near))]
+
+
+def _linked(percent: int):
+    """A task's clusters, each searched for its links."""
+
+    def one(table: pa.Table) -> pa.Table:
+        cluster, node, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cluster", "node", "block"))
+        runs = table.column("runs").to_pylist()
+        order = np.argsort(cluster, kind="stable")
+        cuts = np.flatnonzero(np.diff(cluster[order], prepend=cluster[order[:1]] - 1))
+        a, b = [], []
+        for part in np.split(order, cuts[1:]):
+            across = block[part] if len(np.unique(block[part])) > 1 else None
+            for i, j in links([runs[k] for k in part.tolist()], percent, across):
+                a.append(int(node[part[i]]))
+                b.append(int(node[part[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return one
 
 
 def _searched(k: int, least: int):
-    """All pairs of a bucket that are in different components and whose signatures agree; of two blocks those across."""
+    """Links that merge the clusters of a bucket's nodes, by their signatures; of two blocks those across."""
 
     def one(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, k)
         node, label, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "label", "block"))
         across = len(np.unique(block)) > 1
-        a, b = [], []
+        merging, a, b = _Merging(len(node), label), [], []
         for i in range(len(node) - 1):
-            agree = ((sig[i + 1 :] == sig[i]).sum(axis=1) >= least) & (label[i + 1 :] != label[i])
+            others = np.flatnonzero(merging.of[i + 1 :] != merging.of[i]) + i + 1
             if across:
-                agree &= block[i + 1 :] != block[i]
-            j = np.flatnonzero(agree) + i + 1
-            a.append(np.minimum(node[i], node[j]))
-            b.append(np.maximum(node[i], node[j]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([empty, *a])), "b": pa.array(np.concatenate([empty, *b]))})
+                others = others[block[others] != block[i]]
+            others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
+            for j in merging.link(i, others):
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return one
 
 
 class _Search:
-    """The nodes' signatures and sets, the links found so far, and how more are found."""
+    """Clusters of nodes, while buckets are searched."""
 
-    def __init__(self, sigs: DataFrame, sets: DataFrame, k: int, rows: int, percent: int):
-        self.sigs, self.sets, self.k, self.rows, self.percent = sigs, sets, k, rows, percent
-        self.least = k // 2
-        spark = sigs.sparkSession
-        self.stars = spark.createDataFrame([], "a long, b long")
-        self.tested = spark.createDataFrame([], "a long, b long")
+    def __init__(self, sigs: DataFrame, k: int, rows: int, percent: int):
+        self.sigs, self.k, self.rows = sigs, k, rows
+        p = percent / 100
+        self.least = max(1, math.floor(k * (p - 4.6 * math.sqrt(p * (1 - p) / k))))
+        self.stars = sigs.sparkSession.createDataFrame([], "a long, b long")
 
     def labelled(self, entries: DataFrame) -> DataFrame:
         stars = self.stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
         return entries.select("bucket", "node").join(stars, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
 
     def open(self, entries: DataFrame) -> DataFrame:
-        """Entries, with their labels, of buckets that span several components, and the buckets' sizes."""
+        """Entries, with their labels, of buckets that span several clusters, and the buckets' sizes."""
         labelled = written(self.labelled(entries), "near-labelled")
         wide = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "size")
         return written(labelled.join(wide, "bucket"), "near-open")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Verifies pairs (a, b) whose signatures agree and merges the components of those that hold."""
-        edges = written(self._verify(pairs), "near-links")
+    def link(self, edges: DataFrame) -> None:
+        edges = written(edges, "near-links")
         if not edges.isEmpty():
             self.stars = components(self.stars.unionByName(edges))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        side = lambda c: self.sets.select(F.col("node").alias(c), F.col("runs").alias(f"runs_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(self.percent), "a long, b long")
-
     def star(self, entries: DataFrame, seed: int) -> None:
-        """All members of a bucket meet its leader, another one for each bucket and seed."""
-        lead = entries.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(seed))).alias("lead"))
+        """All members of a bucket meet its leader, by one order of all nodes for each seed, so that alike buckets share it."""
+        lead = entries.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(seed))).alias("lead"))
         met = entries.join(lead, "bucket").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         side = lambda c: self.sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
         self.link(met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(self.k, self.least), "a long, b long"))
 
     def search(self, entries: DataFrame, blocks: bool = False) -> None:
-        """All pairs of small buckets, or of large ones in pairs of blocks."""
+        """All of small buckets, or of large ones in pairs of blocks."""
         rows = entries.join(self.sigs, "node")
-        if blocks:
-            n = F.ceil(F.col("size") / BUCKET).cast("int")
-            rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-            rows = rows.select("bucket", "node", "label", "sig", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        else:
-            rows = rows.select("bucket", "node", "label", "sig", *(F.lit(0).alias(c) for c in ("block", "lo", "hi")))
-        self.link(rows.groupBy("bucket", "lo", "hi").applyInArrow(_searched(self.k, self.least), "a long, b long").distinct())
+        rows = in_blocks(rows, F.ceil(F.col("size") / BUCKET)) if blocks else rows.select("*", *(F.lit(0).alias(c) for c in ("block", "lo", "hi")))
+        rows = rows.select("bucket", "node", "label", "sig", "block", "lo", "hi")
+        self.link(rows.groupBy("bucket", "lo", "hi").applyInArrow(_searched(self.k, self.least), "a long, b long"))
 
     def split(self, entries: DataFrame) -> DataFrame:
         """Each bucket once more by every band; what had not two members is gone."""
@@ -299,6 +357,29 @@ class _Search:
         return shared_buckets(finer.select(F.xxhash64("bucket", "band").alias("bucket"), "node"))
 
 
+def in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """Rows (with node) once for each pair lo, hi of blocks that their block is in."""
+    rows = rows.withColumn("_n", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_n", "_other")
+
+
+def _classes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stars (a, b) of the verified links within clusters (the stars given)."""
+    cluster = stars.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
+    rows = cluster.join(sets, "node").withColumn("bytes", F.length("runs").cast("long"))
+    rows = written(rows, "near-clusters")
+    sizes = rows.groupBy("cluster").agg(F.sum("bytes").alias("total"))
+    tasks = max(1, math.ceil((sizes.agg(F.sum("total")).first()[0] or 0) / TASK_BYTES))
+    rows = rows.join(sizes, "cluster").select("cluster", "node", "runs", "total")
+    kind = "a long, b long"
+    small = rows.filter(F.col("total") <= CLUSTER_BYTES).select("cluster", "node", "runs", F.lit(0).alias("block"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"))
+    found = small.groupBy("task").applyInArrow(_linked(percent), kind)
+    large = in_blocks(rows.filter(F.col("total") > CLUSTER_BYTES), F.ceil(2 * F.col("total") / CLUSTER_BYTES))
+    found = found.unionByName(large.select("cluster", "node", "runs", "block", "lo", "hi").groupBy("cluster", "lo", "hi").applyInArrow(_linked(percent), kind))
+    return components(found)
+
+
 def shared_buckets(entries: DataFrame) -> DataFrame:
     entries = written(entries, "near-entries")
     several = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
@@ -319,11 +400,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(nodes.select("k1", "k2", F.col("k1").alias("node"), "least", "copies", "sig"), "near-nodes")
     sigs = nodes.filter("sig is not null").select("node", "sig")
     buckets = shared_buckets(sigs.mapInArrow(_bands(k, rows), "bucket long, node long"))
-    paired = written(nodes.join(buckets.select("node").distinct(), "node").select("node", "k1", "k2", "sig"), "near-paired")
-    bitmap, bits = key_bitmap(paired.select(F.col("k1").alias("key")))
-    sets = df.select("t").mapInArrow(_sets(width, weighted, bitmap, bits), "k1 long, k2 long, runs binary")
-    sets = sets.join(paired.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("node").agg(F.first("runs").alias("runs"))
-    search = _Search(paired.select("node", "sig"), written(sets, "near-sets"), k, rows, percent)
+    paired = written(nodes.join(buckets.select("node").distinct(), "node").select("node", "sig"), "near-paired")
+    search = _Search(paired, k, rows, percent)
 
     for depth in range(DEPTH + 1):
         search.star(buckets, depth)
@@ -335,11 +413,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if large.isEmpty():
             break
         if depth == DEPTH:
-            search.search(search.open(large).filter(F.col("size") > 1), blocks=True)
+            search.search(large, blocks=True)
         else:
             buckets = search.split(large)
 
-    label = search.stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    stars = search.stars
+    clustered = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    bitmap, bits = key_bitmap(clustered.select(F.col("node").alias("key")))
+    sets = df.select("t").mapInArrow(_sets(width, weighted, bitmap, bits), "k1 long, k2 long, runs binary")
+    sets = sets.select(F.col("k1").alias("node"), "runs").join(clustered, "node").groupBy("node").agg(F.first("runs").alias("runs"))
+    label = _classes(stars, sets, percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.join(label, "node", "left").select("k1", "k2", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
     named = written(named.join(classes, "root").select("k1", "k2", "class_id", "class_size"), "near-classes")
