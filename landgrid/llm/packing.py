@@ -34,8 +34,8 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, window: int) -> tuple[np
     """Ascending places where a cut may fall (0 first) and what each costs. ends: of documents; sentences: of sentences."""
     natural = np.unique(np.concatenate([[0], ends, sentences]))
     gaps = np.diff(natural)
-    wide = np.flatnonzero(gaps > min(FORCED, window))
-    forced = [np.arange(natural[k] + FORCED, natural[k + 1], min(FORCED, window)) for k in wide]
+    step = min(FORCED, window)
+    forced = [np.arange(natural[k] + step, natural[k + 1], step) for k in np.flatnonzero(gaps > step)]
     places = np.unique(np.concatenate([natural, *forced])).astype(np.int64) if forced else natural.astype(np.int64)
     cost = np.full(len(places), PENALTY_FORCED, np.int64)
     cost[np.searchsorted(places, sentences)] = PENALTY_SENTENCE
@@ -44,26 +44,39 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, window: int) -> tuple[np
 
 
 def best_cuts(places: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
-    """Ends of the windows of least total padding plus cost. No gap between places may pass window."""
+    """Ends of the windows of least total padding plus cost. No gap between places may pass window.
+
+    The last window counts what it is cut on into, see tail_cost, and no padding.
+    """
     p, c = places.tolist(), cost.tolist()
     back = [0] * len(p)
+    f = [0] * len(p)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (f + p, p, index) with f + p ascending
-    for j in range(1, len(p)):
+    last = len(p) - 1
+    for j in range(1, last):
         at = p[j]
         while at - queue[0][1] > window:
             queue.popleft()
         least, _, back[j] = queue[0]
         g = least + window + c[j]  # f(j) + p(j) = least + window - p(j) + cost(j) + p(j)
+        f[j] = g - at
         while queue and queue[-1][0] >= g:
             queue.pop()
         queue.append((g, at, j))
-    cuts, j = [], len(p) - 1
+    near = range(int(np.searchsorted(places, p[last] - window)), last)
+    back[last] = min(near, key=lambda i: f[i] + tail_cost(p[last] - p[i], window), default=0)
+    cuts, j = [], last
     while j:
         cuts.append(p[j])
         j = back[j]
     return cuts[::-1]
 
 
+def tail_cost(length: int, window: int) -> int:
+    """Of a last window: a forced cut for each of the powers of two but one."""
+    return PENALTY_FORCED * (len(powers(length, window)) - 1)
+
+
 def powers(length: int, window: int) -> list[int]:
     """Lengths of the sequences for a last window: itself where it is full, else powers of two."""
     return [length] if length == window else [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
