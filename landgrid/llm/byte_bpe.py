@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.shared import body
+from landgrid.llm.shared import body, hold
 
 GUARD = 4
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -68,9 +68,15 @@ class RankEncoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> RankEncoder:
+    return RankEncoder(path, pattern)
+
+
 def rank_encoder(path: str, pattern: str) -> RankEncoder:
     """One for each Python worker."""
-    return RankEncoder(path, pattern)
+    encoder = _encoder(path, pattern)
+    hold("ranks", encoder.known.clear)
+    return encoder
 
 
 def stitch(chunks: list[tuple[int, str, list[int]]], boundaries) -> list[str]:

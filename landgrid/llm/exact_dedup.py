@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landgrid.llm.shared import SPACE, body, written
+from landgrid.llm.shared import SPACE, body, hold, written
 
 ENTRY = "bucket int, key long, digest string, low long, n_low long, n long, body binary"
 FLUSH_BYTES = 64 << 20
@@ -105,6 +105,7 @@ def _batches(chains: Chains, directory: ExtendibleDirectory, rows: int = 2000):
 
 def _folder(directory: ExtendibleDirectory):
     def fold(batches):
+        hold("exact")
         chains = Chains()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("key", "digest", "low", "n_low", "n", "body")]
@@ -129,6 +130,7 @@ def _relay(directory: ExtendibleDirectory):
 
 def _own(table: pa.Table) -> pa.Table:
     """An owner's task: the records of one bucket, chained and compared."""
+    hold("exact")
     chains = Chains()
     for batch in table.to_batches():
         for record in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "low", "n_low", "n", "body"))):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import components
-from landgrid.llm.shared import body, key_bitmap, written
+from landgrid.llm.shared import body, hold, key_bitmap, written
 
 BUCKET = 1024
 MASK = (1 << 64) - 1
@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, width: int, weighted: bool, held: int = 300_000):
+    def __init__(self, width: int, weighted: bool, held: int = 200_000):
         self.width, self.weighted, self.held = width, weighted, held
         self.known: dict[str, int] = {}
 
@@ -122,7 +122,11 @@ def _halves(keys: list[int]) -> list[pa.Array]:
 
 
 def _sign(width: int, weighted: bool, k: int, at_once: int = 300_000):
+    """at_once: elements and darts that are held together."""
+    darts = round(k * (math.log(k) + 2))
+
     def rows(batches):
+        hold("near")
         shingler, seen = Shingler(width, weighted), set()
         for batch in batches:
             ids, keys, sigs = batch.column("doc_id").to_pylist(), [], {}
@@ -141,7 +145,7 @@ def _sign(width: int, weighted: bool, k: int, at_once: int = 300_000):
                     seen.clear()
                 seen.add(keys[-1])
                 pending.append((i, *shingler.elements(words)))
-                held += int(pending[-1][2].sum())
+                held += int(pending[-1][2].sum()) + darts
                 if held > at_once:
                     flush()
                     pending, held = [], 0
@@ -172,6 +176,7 @@ def _bands(k: int, rows_: int):
 
 def _sets(width: int, weighted: bool, bitmap: np.ndarray, bits: int):
     def rows(batches):
+        hold("near")
         shingler, seen = Shingler(width, weighted), set()
         for batch in batches:
             keys, sets = [], []
@@ -276,6 +281,7 @@ def _linked(percent: int):
     """A task's clusters, each searched for its links."""
 
     def one(table: pa.Table) -> pa.Table:
+        hold("near")
         cluster, node, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cluster", "node", "block"))
         runs = table.column("runs").to_pylist()
         order = np.argsort(cluster, kind="stable")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.llm.linear import Logistic, Sparse, fit, slot
-from landgrid.llm.shared import body
+from landgrid.llm.shared import body, hold
 
 BITS = 16
 GOOD, POOR, NONE = 0, 1, 2
@@ -46,7 +46,7 @@ LABELLERS = (
 class Measures:
     """Shares of a text's words, and how many words have which shape; shapes are remembered, up to ``held`` words."""
 
-    def __init__(self, held: int = 300_000):
+    def __init__(self, held: int = 200_000):
         self.known: dict[str, int] = {}
         self.held = held
 
@@ -160,6 +160,7 @@ class QualityModel:
 
 
 def _patterns(batches):
+    hold("quality", _measures.known.clear)
     for batch in batches:
         found = [votes(_measures.of(t)[0]) for t in batch.column("t").to_pylist()]
         seen, n = np.unique(np.array(found, np.int64), return_counts=True)
@@ -167,6 +168,7 @@ def _patterns(batches):
 
 
 def _sampled(batches):
+    hold("quality", _measures.known.clear)
     for batch in batches:
         found = [_measures.of(t) for t in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -202,6 +204,7 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _score(model: QualityModel):
     def rows(batches):
+        hold("quality", _measures.known.clear)
         for batch in batches:
             found = [_measures.of(t) for t in batch.column("t").to_pylist()]
             posterior = model.labels.posterior(np.array([votes(m) for m, _, _ in found], np.int64))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,22 @@ def _discard_all() -> None:
             return
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Said by a task as it starts: what other operators' tasks have left in this Python worker is forgotten.
+
+    Workers live on from stage to stage; so they hold what one operator remembers at a time.
+    """
+    others = [n for n in _held if n != name]
+    for n in others:
+        _held.pop(n)()
+    _held[name] = forget
+    if others:
+        gc.collect()
+
+
 def body(text: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

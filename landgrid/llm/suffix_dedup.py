@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm.bwt import repeated_starts
 from landgrid.llm.near_dedup import mix
-from landgrid.llm.shared import body, key_bitmap, written
+from landgrid.llm.shared import body, hold, key_bitmap, written
 
 GRAM = 32
 CHUNK = 3 << 20  # bytes hashed at once
@@ -69,6 +69,7 @@ def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
 
 def _find_anchors(least: int):
     def rows(batches):
+        hold("suffix")
         seen: set[int] = set()
         for batch in batches:
             keys, texts, held = [], [], 0
@@ -93,11 +94,32 @@ def _find_anchors(least: int):
 
 
 def _anchor_rows(keys, texts, least: int) -> pa.RecordBatch:
+    """A row for each different segment of a text, with all places where it begins there."""
     text, gram, first, windows = anchors(texts, least)
     key, begin = (np.array(x, np.int64) for x in zip(*keys))
+    order = np.lexsort((first, windows, gram, text))
+    text, gram, first, windows = text[order], gram[order], first[order], windows[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (windows[1:] != windows[:-1])
+    begins = np.flatnonzero(new)
+    sizes = np.diff(np.append(begins, len(text)))
+    single = begins[sizes == 1]
+    several: list[list[int]] = []  # the places of each segment whose anchor comes again in its text, as in text that repeats itself
+    for i, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        alike: dict[bytes, list[int]] = {}
+        for j in range(i, i + n):
+            alike.setdefault(texts[text[j]][first[j] : first[j] + windows[j] - 1 + least], []).append(j)
+        several += alike.values()
+    rows = np.concatenate([single, np.array([own[0] for own in several], np.int64)])
+    flat = np.concatenate([single, *(np.array(own, np.int64) for own in several)])
+    ends = np.cumsum(np.concatenate([np.ones(len(single), np.int64), np.array([len(own) for own in several], np.int64)]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(key[text]), pa.array(gram.astype(np.int64)), pa.array(begin[text] + first), pa.array(windows.astype(np.int32))], ["key", "gram", "first", "windows"]
-    )
+        [
+            pa.array(key[text[rows]]), pa.array(gram[rows].astype(np.int64)), pa.array(windows[rows].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(begin[text[flat]] + first[flat])),
+        ],
+        ["key", "gram", "windows", "firsts"],
+    )
 
 
 def _with_text(bitmap: np.ndarray, bits: int):
@@ -130,13 +152,13 @@ def _cut(least: int):
             out: list[list] = [[], [], [], [], []]
             for key, text, found in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), batch.column("found").to_pylist()):
                 for a in found:
-                    segment = text[a["first"] : a["first"] + a["windows"] - 1 + least]
+                    segment = text[a["firsts"][0] : a["firsts"][0] + a["windows"] - 1 + least]
                     name = xxhash.xxh3_64_intdigest(segment) - (1 << 63)
                     new = (a["gram"], name) not in met
                     met.add((a["gram"], name))
-                    for column, value in zip(out, (key, a["gram"], name, a["first"], segment if new else None)):
+                    for column, value in zip(out, (key, a["gram"], name, a["firsts"], segment if new else None)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "gram", "name", "first", "segment"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], ["key", "gram", "name", "firsts", "segment"])
 
     return rows
 
@@ -151,6 +173,7 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 
 def _search(least: int):
     def one(table: pa.Table) -> pa.Table:
+        hold("suffix")
         gram, name, times, segment = (table.column(c).to_pylist() for c in ("gram", "name", "times", "segment"))
         rows = []
         for g, m, n, s, places in zip(gram, name, times, segment, repeated_starts(segment, least)):
@@ -163,24 +186,26 @@ def _search(least: int):
 
 
 def repeated_windows(docs: DataFrame, least: int = 200, task_bytes: int = TASK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """docs: key (of the text) and t (bytes). key and found: lists (lo, hi) of first bytes of repeated windows.
+    """docs: key (of the text) and t (bytes). key and found: lists (firsts, lo, hi); the windows that start lo to hi bytes from any of firsts repeat.
 
     For texts with copies, ``copies`` is above 1 and found is null: all their windows repeat.
     """
     every = written(docs.select("key", F.length("t").alias("n_bytes")), "suffix-texts")
     copies = every.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    found = written(docs.mapInArrow(_find_anchors(least), "key long, gram long, first long, windows int"), "suffix-anchors")
-    # an anchor repeats where two places differ; the same place of a copy in another task is the same
-    place = F.xxhash64("key", "first")
-    twice = found.select("gram", place.alias("p")).groupBy("gram").agg(F.min("p").alias("a"), F.max("p").alias("b")).filter("a <> b").select("gram")
+    found = written(docs.mapInArrow(_find_anchors(least), "key long, gram long, windows int, firsts array<long>"), "suffix-anchors")
+    # an anchor repeats where two places differ, in one text or not; the same place of a copy in another task is the same
+    place = F.when(F.size("firsts") == 1, F.xxhash64("key", F.col("firsts")[0]))
+    twice = found.select("gram", place.alias("p")).groupBy("gram").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count_if(F.col("p").isNull()).alias("again"))
+    twice = twice.filter("again > 0 or a <> b").select("gram")
     # the sides to look up are distinct keys, so that hash tables spare the sorting of the long sides
-    wanted = found.join(twice.hint("shuffle_hash"), "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "first", "windows")).alias("found"))
+    wanted = found.join(twice.hint("shuffle_hash"), "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "windows", "firsts")).alias("found"))
     wanted = written(wanted, "suffix-wanted")
     bitmap, bits = key_bitmap(wanted.select("key"))
     texts = docs.mapInArrow(_with_text(bitmap, bits), "key long, t binary").groupBy("key").agg(F.first("t").alias("t"))
-    places = written(texts.join(wanted, "key").mapInArrow(_cut(least), "key long, gram long, name long, first long, segment binary"), "suffix-places")
+    places = written(texts.join(wanted, "key").mapInArrow(_cut(least), "key long, gram long, name long, firsts array<long>, segment binary"), "suffix-places")
 
-    names = places.groupBy("gram", "name").agg(F.count("*").alias("times"), F.max(F.length("segment")).alias("size"))
+    times = F.sum(F.size("firsts").cast("long")).alias("times")
+    names = places.groupBy("gram", "name").agg(times, F.max(F.length("segment")).alias("size"))
     names = written(names, "suffix-names")
     groups = written(names.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("size").alias("size"), F.max("times").alias("times")), "suffix-groups")
     alone = names.select("gram", "name", (F.col("size") - least).cast("long").alias("hi")).join(groups.filter("kinds = 1 and times > 1").select("gram").hint("shuffle_hash"), "gram")
@@ -188,8 +213,8 @@ def repeated_windows(docs: DataFrame, least: int = 200, task_bytes: int = TASK_B
     mixed = groups.filter("kinds > 1").select("gram", "size")
     total = mixed.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, math.ceil(total / task_bytes))
-    segments = places.select("gram", "name", "segment").join(mixed.hint("shuffle_hash"), "gram")
-    segments = segments.groupBy("gram", "name").agg(F.count("*").alias("times"), F.max("segment").alias("segment"), F.max("size").alias("size"))
+    segments = places.select("gram", "name", "firsts", "segment").join(mixed.hint("shuffle_hash"), "gram")
+    segments = segments.groupBy("gram", "name").agg(times, F.max("segment").alias("segment"), F.max("size").alias("size"))
     segments = written(segments, "suffix-segments")
     some = segments.filter(F.col("size") <= hot_bytes).select("gram", "name", "times", "segment", F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("task"))
     some = some.groupBy("task").applyInArrow(_search(least), "gram long, name long, lo long, hi long")
@@ -201,12 +226,16 @@ def repeated_windows(docs: DataFrame, least: int = 200, task_bytes: int = TASK_B
     hot = each.join(again, ["gram", "digest"]).select("gram", "name", F.col("lo").cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"))
 
     flagged = written(alone.unionByName(some).unionByName(hot), "suffix-flagged")
-    spans = places.select("key", "gram", "name", "first").join(flagged.hint("shuffle_hash"), ["gram", "name"]).select("key", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("span"))
-    spans = spans.groupBy("key").agg(F.collect_list("span").alias("found"))
+    spans = places.select("key", "gram", "name", "firsts").join(flagged.hint("shuffle_hash"), ["gram", "name"])
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("firsts", "lo", "hi")).alias("found"))
     both = spans.join(copies, "key", "full_outer")
     return written(both.select("key", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.when(F.col("copies") > 1, None).otherwise(F.col("found")).alias("found")), "suffix-spans")
 
 
+def _starts(found) -> list[tuple[int, int]]:
+    return [(first + x["lo"], first + x["hi"]) for x in found or () for first in x["firsts"]]
+
+
 def removed_runs(found: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes (start, end) that the windows starting in the given ranges cover."""
     out: list[list[int]] = []
@@ -254,7 +283,7 @@ def _finished(least: int):
                 elif text is None:
                     row = (0, 0, sha)
                 else:
-                    runs = removed_runs([(x["lo"], x["hi"]) for x in found or ()], least)
+                    runs = removed_runs(_starts(found), least)
                     row = (sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(text, runs)).hexdigest())
                 for column, value in zip(out, row):
                     column.append(value)
@@ -286,7 +315,7 @@ def _cleaned(least: int, names: list[str], text_col: str):
                 if (copies or 1) > 1 and len(raw) >= least:
                     text = ""
                 elif found:
-                    text = kept_bytes(raw, removed_runs([(x["lo"], x["hi"]) for x in found], least)).decode("utf-8", "ignore")
+                    text = kept_bytes(raw, removed_runs(_starts(found), least)).decode("utf-8", "ignore")
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)

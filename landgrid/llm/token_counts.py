@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.shared import body
+from landgrid.llm.shared import body, hold
 
 MARK = "▁"  # begins a pre-token in the vocabulary
 
@@ -79,6 +79,7 @@ def _trie(path: str) -> PrefixTrie:
 def _count(path: str, max_nodes: int):
     def rows(batches):
         trie = _trie(path)
+        hold("trie", trie.clear)
         for batch in batches:
             words, tokens = [], []
             for text in batch.column("t").to_pylist():

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.llm.linear import Logistic, Sparse, fit, slot
-from landgrid.llm.shared import body
+from landgrid.llm.shared import body, hold
 
 BITS = 18
 FOLDS = 3
@@ -107,6 +107,7 @@ def fit_chain(x: Sparse, labels: np.ndarray, categories: list[str], folds: np.nd
 
 def _features_of(extra: list[str]):
     def rows(batches):
+        hold("toxicity", _features.known.clear)
         for batch in batches:
             found = [_features.of(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(found, pa.list_(pa.int32()))], [*extra, "slots"])
@@ -152,6 +153,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
 
 def _score(chain: Chain):
     def rows(batches):
+        hold("toxicity", _features.known.clear)
         for batch in batches:
             p = chain.predict(Sparse.of([_features.of(t) for t in batch.column("t").to_pylist()]))
             columns = [pa.array(p[:, k], pa.float64()) for k in range(p.shape[1])]

@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from landgrid.llm.shared import hold
+
 #: str.split() also splits at these; the tokenizer's pattern does not.
 _OTHER_SPLITS = re.compile("[\x1c-\x1f]")
 #: Text for which the tokenizer's normaliser only makes letters small: printable ASCII and Latin letters.
@@ -30,7 +32,7 @@ class WordEncoder:
     half as many; words beyond Latin letters, and those that may hold a special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,6 +66,9 @@ class WordEncoder:
             out.append(b"".join(map(self.words.__getitem__, words)))
         return out
 
+    def forget(self) -> None:
+        self.words, self.pieces = {}, {}
+
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             piece = word.lower()
@@ -92,6 +97,12 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def word_encoder(path: str) -> WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(path)
+    encoder = _encoder(path)
+    hold("words", encoder.forget)
+    return encoder
