@@ -23,6 +23,7 @@ from landgrid.session import ship
 
 def _rows_of(docs: DataFrame, report: DataFrame) -> DataFrame:
     """The rows of docs that a report (doc_id, kept) keeps; where an id comes more than once, as many as it keeps."""
+    report = written(report.select("doc_id", "kept"), "pipeline-report")
     tally = report.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept"))
     mixed = written(tally.filter("_kept > 0 and _rows > 1").select("doc_id", "_kept"), "pipeline-mixed")
     plain = docs.join(tally.filter("_kept > 0 and _rows = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
