@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.functions import codes, grid, measure, sheets, st, text
+from landgrid.functions.affine import Affine
 from landgrid.operators import features as feats
 from landgrid.operators import jobs, keyword, overlay, raster, spatial, stats
 from landgrid.plans import synth
+from landgrid.sources import json as feature_json
+from landgrid.streaming import stats as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -486,10 +489,6 @@ def keyword_topk(spark, d):
     return keyword.top_hits(_hits(spark, d, _TERMS, False), 25).select("rowkey", F.round("score", 6).alias("score"))
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """The rollup of category statistics with percentages."""
-    return category_rollup_percent(spark, d)
-
 
 # geometry functions on polygons made from the rectangles, in integer units
 
@@ -705,9 +704,59 @@ def polygon_cut(spark, d):
     return found.select(_units(F.col("area")).alias("area"), "features")
 
 
-@query()
-def surface_area(spark, d):
+def _cells(spark) -> DataFrame:
+    """Centres and surfaces of the raster's cells, in degrees."""
     cells = raster.cell_surfaces(synth.raster(spark), GRID)
-    x, y = (F.col("col") * GRID + synth.ORIGIN_X + GRID // 2) / synth.UNIT, (F.lit(synth.ORIGIN_Y + synth.SPAN - GRID // 2) - F.col("row") * GRID) / synth.UNIT
-    found = overlay.surface_area(_shaped(spark, d), cells.select("surface", x.alias("x"), y.alias("y")))
+    x, y = F.col("col") * GRID + synth.ORIGIN_X + GRID // 2, F.lit(synth.ORIGIN_Y + synth.SPAN - GRID // 2) - F.col("row") * GRID
+    return cells.select("surface", (x / synth.UNIT).alias("x"), (y / synth.UNIT).alias("y"))
+
+
+_CENTRES = f"p AS (SELECT surface, {synth.ORIGIN_X} + col * {GRID} + {GRID // 2} AS x, {synth.ORIGIN_Y + synth.SPAN} - row * {GRID} - {GRID // 2} AS y FROM s)"
+
+
+@query(f"""WITH {L1}, dem AS ({synth.RASTER}), s AS ({_SURFACE}), {_CENTRES}
+    SELECT substr(region12, 1, 6) AS region6, category, round(sum(surface), 4) AS surface, count(*) AS cells FROM l1 JOIN p ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY ALL""")
+def surface_area(spark, d):
+    found = overlay.surface_area(_shaped(spark, d), _cells(spark), 0.05)
     return found.select("region6", "category", F.round("surface", 4).alias("surface"), "cells")
+
+
+@query(f"""WITH {L1}, dem AS ({synth.RASTER}), s AS ({_SURFACE}), {_CENTRES}
+    SELECT substr(region12, 1, 6) AS region6, category, round(sum(surface * (least(x1, x + {GRID // 2}) - greatest(x0, x - {GRID // 2})) * (least(y1, y + {GRID // 2}) - greatest(y0, y - {GRID // 2})) / {float(GRID * GRID)}), 1) AS surface
+    FROM l1 JOIN p ON x + {GRID // 2} > x0 AND x - {GRID // 2} < x1 AND y + {GRID // 2} > y0 AND y - {GRID // 2} < y1 GROUP BY ALL""")
+def surface_area_prorated(spark, d):
+    found = overlay.surface_area(_shaped(spark, d), _cells(spark), 0.05, prorate=GRID / synth.UNIT)
+    return found.select("region6", "category", F.round("surface", 1).alias("surface"))
+
+
+@query(f"WITH {L1} SELECT rowkey, 2 * x0 + 7 AS x, y0 - 3 AS y, area * 2 AS area FROM l1")
+def st_affine(spark, d):
+    moved = _whole(spark, d).withColumn("g", Affine.scale(2.0, 1.0).then(Affine.shift(7.0, -3.0)).geometry("geom"))
+    box = moved.select("rowkey", st.st_envelope("g").alias("b"), st.st_area("g").cast("bigint").alias("area"))
+    return box.select("rowkey", F.col("b.xmin").cast("bigint").alias("x"), F.col("b.ymin").cast("bigint").alias("y"), "area")
+
+
+@query(f"""WITH {L1}, v AS (SELECT rowkey, unnest([0, 1, 2, 3]) AS i, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM l1)
+    SELECT rowkey, i, x, y FROM v QUALIFY row_number() OVER (PARTITION BY rowkey ORDER BY pow(x - {_CX}, 2) + pow(y - {_CY}, 2), i) = 1""")
+def st_nearest_vertex(spark, d):
+    near = _whole(spark, d).select("rowkey", F.explode(st.st_nearest_vertices("geom", F.lit(float(_CX)), F.lit(float(_CY)))).alias("v"))
+    return near.select("rowkey", "v.i", F.col("v.x").cast("bigint").alias("x"), F.col("v.y").cast("bigint").alias("y"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    found = streams.windowed(_table(spark, d, "events"))
+    return found.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {L1} SELECT category, min(xmin) AS xmin, max(ymax) AS ymax, count(*) AS parts FROM (SELECT category, x0 / 10000.0 AS xmin, y1 / 10000.0 AS ymax FROM l1) GROUP BY category")
+def feature_json_lines(spark, d):
+    """Features written as feature JSON and read back through the object reader."""
+    lines = feature_json.to_feature_json(_shaped(spark, d), ["category"])
+    back = feature_json.parse_lines(lines).withColumn("b", st.st_envelope("geom"))
+    return back.groupBy(F.col("attributes")["category"].alias("category")).agg(F.min("b.xmin").alias("xmin"), F.max("b.ymax").alias("ymax"), F.count("*").alias("parts"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The rollup of category statistics with percentages."""
+    return category_rollup_percent(spark, d)

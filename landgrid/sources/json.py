@@ -69,9 +69,14 @@ def _objects(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["feature"])
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """attributes and geom of the feature objects in column value."""
+    return _parsed(lines.select("value").mapInArrow(_objects, "feature string"))
+
+
 def read_unenclosed(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
     """The features of files of feature objects; splittable where each line holds whole objects."""
-    return _parsed(spark.read.text(path, wholetext=not line_delimited).mapInArrow(_objects, "feature string"))
+    return parse_lines(spark.read.text(path, wholetext=not line_delimited))
 
 
 def to_feature_json(features: DataFrame, attributes: list[str], wkid: int = 4490) -> DataFrame:
