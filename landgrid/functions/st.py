@@ -28,8 +28,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(c)
 
 
-def _udf(f: Callable, kind: T.DataType, n_geometries: int, *columns, **fixed) -> Column:
-    """f on the first so many columns as geometries and the rest as they are; a geometry result becomes WKB."""
+def _udf(f: Callable, kind: T.DataType, n_geometries: int, *columns, once: bool = False, **fixed) -> Column:
+    """f on the first so many columns as geometries and the rest as they are; a geometry result becomes WKB.
+
+    once: filters on the result aren't moved below it, which would compute it twice.
+    """
 
     def apply(*series: pd.Series):
         out = []
@@ -47,7 +50,8 @@ def _udf(f: Callable, kind: T.DataType, n_geometries: int, *columns, **fixed) ->
     exec(f"def call({', '.join(names)}):\n    return apply({', '.join(names)})", scope)  # noqa: S102
     call = scope["call"]
     call.__annotations__ = {n: pd.Series for n in names} | {"return": pd.DataFrame if isinstance(kind, T.StructType) else pd.Series}
-    return F.pandas_udf(call, kind)(*map(_col, columns))
+    made = F.pandas_udf(call, kind)
+    return (made.asNondeterministic() if once else made)(*map(_col, columns))
 
 
 # codecs and constructors
@@ -152,8 +156,8 @@ def st_relate(a, b, pattern: str) -> Column:
     return _udf(ops.relate, BOOL, 2, a, b, pattern=pattern)
 
 
-def st_relate_matrix(a, b) -> Column:
-    return _udf(ops.relate_matrix, S, 2, a, b)
+def st_relate_matrix(a, b, once: bool = False) -> Column:
+    return _udf(ops.relate_matrix, S, 2, a, b, once=once)
 
 
 def st_contains_point(g, x, y) -> Column:
@@ -165,8 +169,8 @@ def st_contains_point(g, x, y) -> Column:
 
 
 def _pair(f: Callable) -> Callable:
-    def operation(a, b) -> Column:
-        return _udf(f, G, 2, a, b)
+    def operation(a, b, once: bool = False) -> Column:
+        return _udf(f, G, 2, a, b, once=once)
 
     operation.__doc__ = f.__doc__
     return operation
@@ -175,8 +179,8 @@ def _pair(f: Callable) -> Callable:
 st_intersection, st_union, st_difference, st_sym_difference = map(_pair, (ops.intersection, ops.union, ops.difference, ops.symmetric_difference))
 
 
-def st_clip_by_box(g, xmin, ymin, xmax, ymax) -> Column:
-    return _udf(ops.clip_box, G, 1, g, xmin, ymin, xmax, ymax)
+def st_clip_by_box(g, xmin, ymin, xmax, ymax, once: bool = False) -> Column:
+    return _udf(ops.clip_box, G, 1, g, xmin, ymin, xmax, ymax, once=once)
 
 
 def st_clip_area(g, xmin, ymin, xmax, ymax) -> Column:

@@ -11,11 +11,14 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _sent: set[str] = set()
+BATCH_ROWS = "2000"  # of the batches that Python workers get, for tables with long texts; Spark's own default is 10000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors once a session, unless their PYTHONPATH has it (inherited from the driver's)."""
+    """Sends the package to the executors once a session, unless their PYTHONPATH has it (inherited from the driver's), and bounds batches."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _sent:
         return spark
     _sent.add(context.applicationId)

@@ -39,7 +39,7 @@ def ingest_cells(features: DataFrame, path: str, size: float = 0.2, mode: str =
 def sheet_pieces(features: DataFrame, scale: Scale) -> DataFrame:
     """Features cut by map sheets, each piece in its sheet's 6-degree zone: sheet, rowkey, category, geom, area, length."""
     sheets = features.withColumn("sheet", F.explode(sheets_in_range("xmin", "ymin", "xmax", "ymax", scale))).withColumn("_b", sheet_envelope("sheet"))
-    cut = sheets.select("sheet", "rowkey", "category", st.st_clip_by_box("geom", "_b.xmin", "_b.ymin", "_b.xmax", "_b.ymax").alias("geom")).filter(~st.st_is_empty("geom"))
+    cut = sheets.select("sheet", "rowkey", "category", st.st_clip_by_box("geom", "_b.xmin", "_b.ymin", "_b.xmax", "_b.ymax", once=True).alias("geom")).filter(~st.st_is_empty("geom"))
     moved = cut.withColumn("geom", st.st_to_zone("geom", sheet_zone("sheet")))
     return moved.withColumns({"area": st.st_area("geom"), "length": st.st_length("geom")})
 
