@@ -38,9 +38,9 @@ from landgrid.llm.shared import body, hold, key_bitmap, written
 BUCKET = 1024
 MASK = (1 << 64) - 1
 DEPTH = 3
-TASK_BYTES = 8 << 20  # of element sets that a task searches
-CLUSTER_BYTES = 32 << 20  # of a cluster's element sets from which it goes to several tasks
-SEEN = 300_000  # texts that a task remembers so as not to sign their copies again
+TASK_BYTES = 4 << 20  # of element sets that a task searches
+CLUSTER_BYTES = 16 << 20  # of a cluster's element sets from which it goes to several tasks
+SEEN = 100_000  # texts that a task remembers so as not to sign their copies again
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,10 +249,10 @@ def links(sets: list[bytes], percent: int, block: np.ndarray | None = None) -> l
     runs, weights = map(list, zip(*map(_weights_of, sets)))
     sizes = np.array([len(r) for r in runs])
     total = np.array([int(w.sum()) for w in weights])
-    ids = np.unique(np.concatenate(runs), return_inverse=True)[1]
-    weight = np.concatenate(weights)
-    owner = np.repeat(np.arange(n), sizes)
-    listed = np.argsort(ids, kind="stable")
+    ids = np.unique(np.concatenate(runs), return_inverse=True)[1].astype(np.int32)
+    weight = np.concatenate(weights).astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    listed = np.argsort(ids, kind="stable").astype(np.int32)
     counts = np.bincount(ids)
     begins = np.cumsum(counts) - counts
     ends = np.cumsum(sizes)
