@@ -296,7 +296,7 @@ def sheet_code(spark, d):
     return coded.select("k", "sheet", sheets.super_sheet("sheet", sheets.scale_of("D")).alias("parent"))
 
 
-@query(f"WITH {L1}, a AS ({_ROWS.format(n=24)}) SELECT k, round(c24 * 0.25, 6) AS xmin, round(r24 / 6.0, 6) AS ymin, round((c24 + 1) * 0.25, 6) AS xmax, round((r24 + 1) / 6.0, 6) AS ymax FROM a")
+@query(f"WITH {L1}, a AS ({_ROWS.format(n=24)}) SELECT k, round(c24 * 0.25::double, 6) AS xmin, round(r24 / 6.0, 6) AS ymin, round((c24 + 1) * 0.25::double, 6) AS xmax, round((r24 + 1) / 6.0, 6) AS ymax FROM a")
 def sheet_envelope(spark, d):
     layer = synth.degrees(_layer(spark, d))
     box = layer.select("k", sheets.sheet_envelope(sheets.sheet_code("ymin", "xmin", sheets.scale_of("E"))).alias("b"))
