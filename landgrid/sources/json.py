@@ -85,6 +85,19 @@ def to_feature_json(features: DataFrame, attributes: list[str], wkid: int = 4490
     return features.select(F.concat(F.lit('{"attributes":'), kept, F.lit(',"geometry":'), st.st_as_feature_json("geom", wkid), F.lit("}")).alias("value"))
 
 
+def to_geojson_lines(features: DataFrame, properties: list[str], srid: int = 0) -> DataFrame:
+    """A line of GeoJSON for each feature, in column value."""
+    kept = F.to_json(F.struct(*properties))
+    return features.select(F.concat(F.lit('{"type":"Feature","properties":'), kept, F.lit(',"geometry":'), st.st_as_geojson("geom", srid), F.lit("}")).alias("value"))
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """properties and geom of GeoJSON features: a line each, or the features of collections in files of their own."""
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(F.from_json("value", "features array<string>")["features"], F.split(F.trim("value"), "\n"))).alias("f"))
+    parsed = lines.withColumn("o", F.from_json("f", "properties map<string,string>, geometry string"))
+    return parsed.filter("o.geometry is not null").select(F.col("o.properties").alias("properties"), st.st_from_geojson("o.geometry").alias("geom"))
+
+
 def to_feature_class(features: DataFrame, attributes: list[str], geometry_type: str = "esriGeometryPolygon", wkid: int = 4490) -> str:
     """One document; the result is gathered on the driver, so it is for small results."""
     import json

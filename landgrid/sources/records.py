@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from landgrid.functions import st
 from landgrid.functions.codes import UNCLASSIFIED, UNNAMED, row_key, standard_category, standard_region
+from landgrid.functions.sheets import central_meridian
 from landgrid.functions.text import one_line, property_map
 
 #: The last columns of a loader record; what comes before are properties (name:value).
 TAIL = ("length", "area", "fid", "region", "caption", "category", "geo_type", "wkt")
-TOP_AXIS, FAR = 180.0, 10_000.0
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +54,12 @@ def features_of(records: DataFrame) -> DataFrame:
     )
 
 
+def with_metric_measures(features: DataFrame) -> DataFrame:
+    """area and length in metres, in the 6-degree zone of each feature's representative point."""
+    moved = features.withColumn("_m", st.st_to_zone("geom", central_meridian(F.col("position.x"))))
+    return moved.withColumns({"area": st.st_area("_m"), "length": st.st_length("_m")}).drop("_m")
+
+
 def split_rejects(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good features, and the lines that made none with their error."""
     return features.filter("error is null").drop("error", "line"), features.filter("error is not null").select("line", "error")

@@ -120,6 +120,8 @@ def test_records(spark, tmp_path):
     assert cli.upload(spark, str(path), str(tmp_path / "t")) == (2, 3)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert records.feature_counts(spark, str(path)).first()["n"] == 5
+    metric = records.with_metric_measures(good.filter("fid = '7'")).first()
+    assert math.isclose(metric["area"], 1.23e10, rel_tol=0.02) and math.isclose(metric["length"], 4.43e5, rel_tol=0.02)
 
 
 def test_json(spark, tmp_path):
@@ -134,6 +136,12 @@ def test_json(spark, tmp_path):
     assert sorted(r["attributes"]["a"] for r in stream.collect()) == ["1{", "2"]
     back = feature_json.to_feature_class(stream.withColumn("a", F.col("attributes")["a"]), ["a"])
     assert len(json.loads(back)["features"]) == 2
+    shapes = stream.withColumn("a", F.col("attributes")["a"])
+    feature_json.to_geojson_lines(shapes, ["a"]).coalesce(1).write.text(str(tmp_path / "lines"))
+    (tmp_path / "collection").mkdir()
+    (tmp_path / "collection" / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"a": "1"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}))
+    assert sorted(r["properties"]["a"] for r in feature_json.read_geojson(spark, str(tmp_path / "lines")).collect()) == ["1{", "2"]
+    assert feature_json.read_geojson(spark, str(tmp_path / "collection")).select(st.st_as_wkt("geom").alias("w")).first()["w"] == "POINT (1 2)"
 
 
 def test_shapefiles_and_sinks(spark, features, tmp_path):
