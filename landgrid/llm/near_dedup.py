@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from landgrid.llm.components import components
 from landgrid.llm.shared import body, hold, key_bitmap, written
 
-BUCKET = 1024
+BUCKET = 8192  # signatures that a task compares with each other
 MASK = (1 << 64) - 1
 DEPTH = 3
 TASK_BYTES = 4 << 20  # of element sets that a task searches
