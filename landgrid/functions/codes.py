@@ -117,7 +117,7 @@ def region_parent(c: Column | str) -> Column:
 def region_upper(c: Column | str) -> Column:
     """The first code of 6 digits after those of a region."""
     short = region_short(c)
-    return F.rpad(F.lpad((short.cast("bigint") + 1).cast("string"), 2, "0"), 6, "0")
+    return F.rpad(F.lpad((short.cast("bigint") + 1).cast("string"), F.length(short), F.lit("0")), F.lit(6), F.lit("0"))
 
 
 def region_contains(outer: Column | str, inner: Column | str) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from landgrid.functions.codes import category_contains, district_of
 
-POSITION_COLUMNS = ("rowkey", "caption", "cnt", "area", "length")
 BROADCAST_KEYS = 100_000  # key lists up to here may be broadcast; larger ones are joined
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.functions import st
-from landgrid.functions.measure import gauss_kruger
 from landgrid.functions.sheets import Scale, sheet_envelope, sheet_zone, sheets_in_range
 from landgrid.operators.overlay import grid_pieces
 
@@ -49,11 +48,6 @@ def ingest_sheets(features: DataFrame, path: str, scale: Scale, mode: str = "ove
     return features.sparkSession.read.parquet(path).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
-def project_points(df: DataFrame, lon: str, lat: str, meridian) -> DataFrame:
-    east, north = gauss_kruger(F.col(lon), F.col(lat), meridian)
-    return df.withColumns({"east": east, "north": north})
-
-
 def write_lines(df: DataFrame, path: str, geom: str | None = "geom", one_file: bool = False) -> None:
     """Tab-separated lines, the geometry last as WKT. one_file: in a single file, for small results."""
     columns = [F.col(c).cast("string") for c in df.columns if c != geom] + ([st.st_as_wkt(geom)] if geom else [])
