@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import components
-from landgrid.llm.shared import body, hold, key_bitmap, written
+from landgrid.llm.shared import Scratch, body, hold, key_bitmap, written
 
 BUCKET = 8192  # signatures that a task compares with each other
 MASK = (1 << 64) - 1
@@ -392,13 +392,8 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return written(entries.join(several, "bucket"), "near-buckets")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
-    """One row for each document: doc_id, class_id (least id of the class), class_size, kept.
-
-    Parameters: runs of ``width`` words, links from a similarity of ``percent``, ``bands`` of ``rows`` coordinates,
-    ``weighted``: whether runs count as often as they occur. A link at the least similarity is missed where no band
-    agrees: with 24 bands of 3 rows in 3 of 100 million cases.
-    """
+def _near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents with the hash of their words, and class_id and class_size of hashes in classes of several."""
     k = bands * rows
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("t"))
     signed = written(df.mapInArrow(_sign(width, weighted, k), "doc_id long, k1 long, k2 long, sig binary"), "near-signed")
@@ -431,7 +426,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = _classes(stars, sets, percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.join(label, "node", "left").select("k1", "k2", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    named = written(named.join(classes, "root").select("k1", "k2", "class_id", "class_size"), "near-classes")
+    return signed, written(named.join(classes, "root").select("k1", "k2", "class_id", "class_size"), "near-classes")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
+    """One row for each document: doc_id, class_id (least id of the class), class_size, kept.
+
+    Parameters: runs of ``width`` words, links from a similarity of ``percent``, ``bands`` of ``rows`` coordinates,
+    ``weighted``: whether runs count as often as they occur. A link at the least similarity is missed where no band
+    agrees: with 24 bands of 3 rows in 3 of 100 million cases.
+    """
+    with Scratch() as scratch:
+        signed, named = _near_classes(docs, id_col, text_col, width, percent, bands, rows, weighted)
+        scratch.keep(signed), scratch.keep(named)
     one = F.lit(1).cast("long")
     out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     alone = F.col("class_size").isNull()

@@ -3,21 +3,58 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.session import ship
 
 SPACE = r"[\x20\x09-\x0D]+"
+M_MMAP_THRESHOLD = -3  # of mallopt
 MAP_BITS = 24  # of a key bitmap: 2 MB at most, whatever the input
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str]] = []  # to be discarded when the process ends
+
+
+class Scratch:
+    """Tables written inside a ``with`` block; at its end all but the kept ones are discarded.
+
+    What leaves the block may depend on kept tables only.
+    """
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table.written_to)
+        return table
+
+    def __enter__(self) -> "Scratch":
+        self.outer = _scratch.get()
+        self.token = _scratch.set(self)
+        return self
+
+    def __exit__(self, *failed) -> None:
+        _scratch.reset(self.token)
+        beyond = _written if self.outer is None else self.outer.tables
+        for spark, path in self.tables:
+            if path in self.kept or failed[0] is not None:
+                beyond.append((spark, path))
+            else:
+                discard(spark, path)
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,8 +74,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    open_scratch = _scratch.get()
+    (_written if open_scratch is None else open_scratch.tables).append((spark, path))
+    return table
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -71,6 +111,25 @@ def hold(name: str, forget: Callable[[], None] = lambda: None) -> None:
     _held[name] = forget
     if others:
         gc.collect()
+    _give_back()
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to return arrays of a megabyte and more to the system once they are freed; None elsewhere."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def _give_back() -> None:
+    """Returns memory that earlier tasks have freed."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
 
 
 def body(text: str = "text") -> Column:

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from landgrid.llm.bwt import repeated_starts
 from landgrid.llm.near_dedup import mix
-from landgrid.llm.shared import body, hold, key_bitmap, written
+from landgrid.llm.shared import Scratch, body, hold, key_bitmap, written
 
 GRAM = 32
-CHUNK = 3 << 20  # bytes hashed at once
+CHUNK = 1 << 20  # bytes hashed at once
 TASK_BYTES = 1 << 20
 HOT_BYTES = 8 << 20
 POINT = np.uint64(0xD6E8FEB86659FD93)
@@ -126,6 +126,7 @@ def _with_text(bitmap: np.ndarray, bits: int):
     """Texts whose key's bit is set, once for a task."""
 
     def rows(batches):
+        hold("suffix")
         seen: set[int] = set()
         for batch in batches:
             key = np.array(batch.column("key").to_pylist(), np.int64)
@@ -147,6 +148,7 @@ def _cut(least: int):
     """The segments of each text's anchors; a task gives the bytes of a segment it has met before no more."""
 
     def rows(batches):
+        hold("suffix")
         for batch in batches:
             met: set[tuple[int, int]] = set()
             out: list[list] = [[], [], [], [], []]
@@ -186,6 +188,12 @@ def _search(least: int):
 
 
 def repeated_windows(docs: DataFrame, least: int = 200, task_bytes: int = TASK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """See _repeated_windows; of the tables on the way only the result stays."""
+    with Scratch() as scratch:
+        return scratch.keep(_repeated_windows(docs, least, task_bytes, hot_bytes))
+
+
+def _repeated_windows(docs: DataFrame, least: int, task_bytes: int, hot_bytes: int) -> DataFrame:
     """docs: key (of the text) and t (bytes). key and found: lists (firsts, lo, hi); the windows that start lo to hi bytes from any of firsts repeat.
 
     For texts with copies, ``copies`` is above 1 and found is null: all their windows repeat.
@@ -275,6 +283,7 @@ def _text_or_digest(bitmap: np.ndarray, bits: int):
 
 def _finished(least: int):
     def rows(batches):
+        hold("suffix")
         for batch in batches:
             out: list[list] = [[], [], []]
             for n, sha, text, copies, found in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "sha", "t", "copies", "found"))):
