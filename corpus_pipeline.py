@@ -16,7 +16,7 @@ from landgrid.llm.exact_dedup import exact_dedup
 from landgrid.llm.near_dedup import near_dedup
 from landgrid.llm.packing import pack
 from landgrid.llm.quality_model import score_quality, train_quality
-from landgrid.llm.shared import documents, written
+from landgrid.llm.shared import Scratch, discard, documents, written
 from landgrid.llm.suffix_dedup import without_repeats
 from landgrid.session import ship
 
@@ -71,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(ship(spark), sf_dir)
+    docs, before = documents(ship(spark), sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with Scratch() as scratch:  # what a stage writes on the way goes when its result is written
+            docs = scratch.keep(written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        if before is not None:
+            discard(spark, before)
+        before = docs.written_to
     return docs
