@@ -8,28 +8,46 @@ of each text or class.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.exact_dedup import exact_dedup
 from landgrid.llm.near_dedup import near_dedup
 from landgrid.llm.packing import pack
-from landgrid.llm.quality_model import score_quality, train_quality
-from landgrid.llm.shared import Scratch, discard, documents, written
+from landgrid.llm.quality_model import keep_quality, train_quality
+from landgrid.llm.shared import Scratch, discard, documents, key_bitmap, written
 from landgrid.llm.suffix_dedup import without_repeats
 from landgrid.session import ship
 
 
+def _by_bitmap(bitmap: np.ndarray, bits: int, marked: bool):
+    """Rows whose id is marked in a bitmap, as null ids always are, or the others."""
+
+    def rows(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << bits) - 1)
+            hit = ((bitmap[ids >> 6] >> (ids & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == marked))
+
+    return rows
+
+
 def _rows_of(docs: DataFrame, report: DataFrame) -> DataFrame:
-    """The rows of docs that a report (doc_id, kept) keeps; where an id comes more than once, as many as it keeps."""
+    """The rows of docs that a report (doc_id, kept) keeps; where an id comes more than once, as many as it keeps.
+
+    Rows whose id surely loses none pass where they are; only the others meet the report in a join.
+    """
     report = written(report.select("doc_id", "kept"), "pipeline-report")
     tally = report.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept"))
-    mixed = written(tally.filter("_kept > 0 and _rows > 1").select("doc_id", "_kept"), "pipeline-mixed")
-    plain = docs.join(tally.filter("_kept > 0 and _rows = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if mixed.isEmpty():
-        return plain
-    return plain.unionByName(_of_repeated(docs, mixed))
+    lossy = written(tally.filter("_kept < _rows or doc_id is null"), "pipeline-lossy")
+    bitmap, bits = key_bitmap(lossy.filter("doc_id is not null").select(F.col("doc_id").alias("key")))
+    sure, doubtful = (docs.mapInArrow(_by_bitmap(bitmap, bits, marked), docs.schema) for marked in (False, True))
+    found = sure.unionByName(doubtful.join(lossy.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
+    mixed = lossy.filter("_kept > 0").select("doc_id", "_kept")
+    return found if mixed.isEmpty() else found.unionByName(_of_repeated(doubtful, mixed))
 
 
 def _of_repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -41,7 +59,7 @@ def _of_repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     ship(spark)
-    return _rows_of(docs, score_quality(docs, train_quality(docs)))
+    return keep_quality(docs, train_quality(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
