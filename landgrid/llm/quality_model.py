@@ -220,3 +220,19 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """One row for each document: doc_id, weak_label (posterior that it is good), score, kept."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("t"))
     return df.mapInArrow(_score(model), "doc_id long, weak_label double, score double, kept boolean")
+
+
+def _keep(model: QualityModel, text_col: str):
+    def rows(batches):
+        hold("quality", _measures.known.clear)
+        for batch in batches:
+            found = [_measures.of(t or "") for t in batch.column(text_col).to_pylist()]
+            score = model.scorer.score(Sparse.of([s for _, s, _ in found], [v for _, _, v in found]))
+            yield batch.filter(pa.array(score >= model.threshold))
+
+    return rows
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the scorer keeps, where they are."""
+    return docs.mapInArrow(_keep(model, text_col), docs.schema)
