@@ -75,7 +75,7 @@ def _encoder(path: str, pattern: str) -> RankEncoder:
 def rank_encoder(path: str, pattern: str) -> RankEncoder:
     """One for each Python worker."""
     encoder = _encoder(path, pattern)
-    hold("ranks", encoder.known.clear)
+    hold("ranks", _encoder.cache_clear)
     return encoder
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landgrid.llm.shared import SPACE, body, hold, written
+from landgrid.llm.shared import SPACE, body, hold, tidy, written
 
 ENTRY = "bucket int, key long, digest string, low long, n_low long, n long, body binary"
 FLUSH_BYTES = 64 << 20
@@ -116,7 +116,7 @@ def _folder(directory: ExtendibleDirectory):
                 chains = Chains()
         yield from _batches(chains, directory)
 
-    return fold
+    return tidy(fold)
 
 
 def _relay(directory: ExtendibleDirectory):

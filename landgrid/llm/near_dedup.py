@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.components import components
-from landgrid.llm.shared import Scratch, body, hold, key_bitmap, written
+from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, written
 
 BUCKET = 8192  # signatures that a task compares with each other
 MASK = (1 << 64) - 1
@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, width: int, weighted: bool, held: int = 200_000):
+    def __init__(self, width: int, weighted: bool, held: int = 100_000):
         self.width, self.weighted, self.held = width, weighted, held
         self.known: dict[str, int] = {}
 
@@ -155,7 +155,7 @@ def _sign(width: int, weighted: bool, k: int, at_once: int = 300_000):
                 ["doc_id", "k1", "k2", "sig"],
             )
 
-    return rows
+    return tidy(rows)
 
 
 def _bands(k: int, rows_: int):
@@ -194,7 +194,7 @@ def _sets(width: int, weighted: bool, bitmap: np.ndarray, bits: int):
                 sets.append(runs.tobytes() + weights.tobytes())
             yield pa.RecordBatch.from_arrays([*_halves(keys), pa.array(sets, pa.binary())], ["k1", "k2", "runs"])
 
-    return rows
+    return tidy(rows)
 
 
 def _agreeing(k: int, least: int):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.shared import body
+from landgrid.llm.shared import body, tidy
 from landgrid.llm.word_tokens import word_encoder
 
 FORCED = 16
@@ -127,7 +127,7 @@ def _pack(path: str, end_id: int, window: int, block: int):
         if packed is not None:
             yield packed
 
-    return rows
+    return tidy(rows)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, block: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

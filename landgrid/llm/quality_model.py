@@ -46,7 +46,7 @@ LABELLERS = (
 class Measures:
     """Shares of a text's words, and how many words have which shape; shapes are remembered, up to ``held`` words."""
 
-    def __init__(self, held: int = 200_000):
+    def __init__(self, held: int = 100_000):
         self.known: dict[str, int] = {}
         self.held = held
 

@@ -114,6 +114,16 @@ def hold(name: str, forget: Callable[[], None] = lambda: None) -> None:
     _give_back()
 
 
+def tidy(rows: Callable) -> Callable:
+    """A task's function that returns freed memory when it has ended, as its worker may wait long for another task."""
+
+    def run(batches):
+        yield from rows(batches)
+        _give_back()
+
+    return run
+
+
 @lru_cache(maxsize=1)
 def _libc():
     """The C library, told to return arrays of a megabyte and more to the system once they are freed; None elsewhere."""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm.bwt import repeated_starts
 from landgrid.llm.near_dedup import mix
-from landgrid.llm.shared import Scratch, body, hold, key_bitmap, written
+from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, written
 
 GRAM = 32
 CHUNK = 1 << 20  # bytes hashed at once
@@ -90,7 +90,7 @@ def _find_anchors(least: int):
             if texts:
                 yield _anchor_rows(keys, texts, least)
 
-    return rows
+    return tidy(rows)
 
 
 def _anchor_rows(keys, texts, least: int) -> pa.RecordBatch:
@@ -141,7 +141,7 @@ def _with_text(bitmap: np.ndarray, bits: int):
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["key", "t"])
 
-    return rows
+    return tidy(rows)
 
 
 def _cut(least: int):
@@ -162,7 +162,7 @@ def _cut(least: int):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], ["key", "gram", "name", "firsts", "segment"])
 
-    return rows
+    return tidy(rows)
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:

@@ -66,9 +66,6 @@ class WordEncoder:
             out.append(b"".join(map(self.words.__getitem__, words)))
         return out
 
-    def forget(self) -> None:
-        self.words, self.pieces = {}, {}
-
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             piece = word.lower()
@@ -104,5 +101,5 @@ def _encoder(path: str) -> WordEncoder:
 def word_encoder(path: str) -> WordEncoder:
     """One for each Python worker."""
     encoder = _encoder(path)
-    hold("words", encoder.forget)
+    hold("words", _encoder.cache_clear)
     return encoder
