@@ -31,7 +31,7 @@ MAGIC = b"LGTOKEN1"
 CODES = np.arange(256, dtype=np.uint8)
 #: Byte lengths of the four ranks of a control byte.
 LENGTHS = np.stack([((CODES >> s) & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+HELD = 700_000  # words that an encoding task remembers
 BLOCK = 1 << 16  # control bytes decoded at once
 
 
@@ -50,7 +50,7 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks again, by table lookup of the lengths."""
     control = np.frombuffer(control, np.uint8)
-    data = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
+    data = np.frombuffer(data, np.uint8)
     out, at = np.empty(len(control) * 4, np.uint32), 0
     for i in range(0, len(control), BLOCK):
         lengths = LENGTHS[control[i : i + BLOCK]].ravel()
@@ -60,8 +60,11 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
         starts = ends - lengths
         value = data[starts].astype(np.uint32)
         for k in (1, 2, 3):
-            value |= data[np.minimum(starts + k, len(data) - 1)].astype(np.uint32) << np.uint32(8 * k)
-        out[4 * i : 4 * i + here] = value & MASKS[lengths]
+            longer = np.flatnonzero(lengths > k)
+            if not len(longer):
+                break
+            value[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[4 * i : 4 * i + here] = value
         at = int(ends[-1]) if here else at
     return out[:n]
 
@@ -91,7 +94,7 @@ def unpack_shard(content: bytes, ids_by_rank: np.ndarray) -> tuple[list, np.ndar
 
 def _encode(path: str, end_id: int):
     def rows(batches):
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, HELD)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in encoder.encode_bytes(batch.column("t").to_pylist())]

@@ -94,12 +94,12 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, held: int) -> WordEncoder:
+    return WordEncoder(path, held)
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, held: int = 350_000) -> WordEncoder:
     """One for each Python worker."""
-    encoder = _encoder(path)
+    encoder = _encoder(path, held)
     hold("words", _encoder.cache_clear)
     return encoder
