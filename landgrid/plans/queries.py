@@ -168,9 +168,9 @@ def region_level(spark, d):
     return regions.select("region", codes.region_level("region").alias("level"), codes.region_short("region").alias("short"))
 
 
-@query("SELECT event_id, event_type AS type, props AS raw FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, event_type AS type, props AS raw FROM events")
 def property_map(spark, d):
-    events = _table(spark, d, "events").filter("event_id % 10 = 0")
+    events = _table(spark, d, "events")
     packed = F.concat(F.lit("type:"), F.col("event_type"), F.lit("\tskipped\tid:"), F.col("event_id").cast("string"), F.lit(":lost"))
     parsed = events.withColumn("m", text.property_map(packed))
     return parsed.select(F.col("m")["id"].cast("bigint").alias("event_id"), F.col("m")["type"].alias("type"), F.col("props").alias("raw"))
@@ -270,9 +270,9 @@ def optimal_cell(spark, d):
     return spatial.with_index(synth.degrees(_layer(spark, d))).select("k", "zvalue")
 
 
-@query(f"WITH {L1} SELECT k, lvl AS level, z FROM ({z_sql('lvl', 'SELECT k, l AS lvl, cast(trunc((180.0 - y0 / 10000.0) / (360.0 / pow(2.0, l))) AS bigint) AS row, cast(trunc((x0 / 10000.0) / (360.0 / pow(2.0, l))) AS bigint) AS col FROM l1, range(1, 15) AS t(l) WHERE k % 10 = 0')})")
+@query(f"WITH {L1} SELECT k, lvl AS level, z FROM ({z_sql('lvl', 'SELECT k, l AS lvl, cast(trunc((180.0 - y0 / 10000.0) / (360.0 / pow(2.0, l))) AS bigint) AS row, cast(trunc((x0 / 10000.0) / (360.0 / pow(2.0, l))) AS bigint) AS col FROM l1, range(1, 15) AS t(l)')})")
 def point_cells(spark, d):
-    layer = synth.degrees(_layer(spark, d).filter("k % 10 = 0"))
+    layer = synth.degrees(_layer(spark, d))
     return layer.select("k", F.posexplode(grid.point_cells("xmin", "ymin")).alias("i", "z")).select("k", (F.col("i") + 1).cast("bigint").alias("level"), "z")
 
 
@@ -304,10 +304,10 @@ def sheet_envelope(spark, d):
 
 
 @query(f"""WITH {L1} SELECT k, {_sheet_sql('r', 'c', 96, 'G')} AS sheet FROM (
-    SELECT k, x0, x1, unnest(range(cast(floor((y0 / 10000.0) * 96 / 4) AS bigint), cast(floor((y1 / 10000.0) * 96 / 4) AS bigint) + 1)) AS r FROM l1 WHERE k % 5 = 0),
+    SELECT k, x0, x1, unnest(range(cast(floor((y0 / 10000.0) * 96 / 4) AS bigint), cast(floor((y1 / 10000.0) * 96 / 4) AS bigint) + 1)) AS r FROM l1),
     LATERAL (SELECT unnest(range(cast(floor((x0 / 10000.0) * 96 / 6) AS bigint), cast(floor((x1 / 10000.0) * 96 / 6) AS bigint) + 1)) AS c)""")
 def sheets_in_range(spark, d):
-    layer = synth.degrees(_layer(spark, d).filter("k % 5 = 0"))
+    layer = synth.degrees(_layer(spark, d))
     return layer.select("k", F.explode(sheets.sheets_in_range("xmin", "ymin", "xmax", "ymax", sheets.scale_of("G"))).alias("sheet"))
 
 
@@ -504,6 +504,11 @@ def _whole(spark, d, n: int = 1) -> DataFrame:
     return _layer(spark, d, n).withColumn("geom", st.st_make_envelope(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))))
 
 
+def _dealt(spark, d) -> DataFrame:
+    """The same for functions that take much of a second for a row: a small file is not one task."""
+    return _whole(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "rowkey")
+
+
 _WKT = "'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))'"
 _TEXT = f"WITH {L1} SELECT k, {_WKT} AS wkt FROM l1"
 
@@ -592,9 +597,9 @@ def st_distance(spark, d):
     return near.select("rowkey", "distance", F.col("n.x").cast("bigint").alias("x"), F.col("n.y").cast("bigint").alias("y"))
 
 
-@query(f"WITH {L1} SELECT rowkey, round(area + length * 25 + 48 * 625 * sin(2 * pi() / 96), 3) AS area, cast(greatest(x1 - x0 - 30, 0) * greatest(y1 - y0 - 30, 0) AS double) AS shrunk FROM l1 WHERE k % 10 = 0")
+@query(f"WITH {L1} SELECT rowkey, round(area + length * 25 + 48 * 625 * sin(2 * pi() / 96), 3) AS area, cast(greatest(x1 - x0 - 30, 0) * greatest(y1 - y0 - 30, 0) AS double) AS shrunk FROM l1")
 def st_buffer(spark, d):
-    layer = _whole(spark, d).filter("k % 10 = 0")
+    layer = _dealt(spark, d)
     return layer.select("rowkey", F.round(st.st_area(st.st_buffer("geom", F.lit(25.0))), 3).alias("area"), F.round(st.st_area(st.st_buffer("geom", F.lit(-15.0))), 3).alias("shrunk"))
 
 
@@ -617,9 +622,9 @@ def st_cut(spark, d):
     return parts.select("rowkey", "p.side", F.round(st.st_area("p.geom")).cast("bigint").alias("area"))
 
 
-@query(f"WITH {L1} SELECT rowkey, area, ceil((x1 - x0) / 100.0)::bigint * ceil((y1 - y0) / 100.0)::bigint AS tiles FROM l1 WHERE k % 5 = 0")
+@query(f"WITH {L1} SELECT rowkey, area, ceil((x1 - x0) / 100.0)::bigint * ceil((y1 - y0) / 100.0)::bigint AS tiles FROM l1")
 def st_tiles(spark, d):
-    tiles = _whole(spark, d).filter("k % 5 = 0").select("rowkey", F.explode(st.st_tiles("geom", 100.0)).alias("t"))
+    tiles = _dealt(spark, d).select("rowkey", F.explode(st.st_tiles("geom", 100.0)).alias("t"))
     return tiles.groupBy("rowkey").agg(F.sum(st.st_area("t")).cast("bigint").alias("area"), F.count("*").alias("tiles"))
 
 
@@ -637,7 +642,7 @@ def st_convex_hull(spark, d):
 
 @query()
 def st_offset_curve(spark, d):
-    rim = _whole(spark, d).filter("k % 10 = 0").withColumn("rim", st.st_boundary("geom"))
+    rim = _whole(spark, d).withColumn("rim", st.st_boundary("geom"))
     return rim.select("rowkey", *(F.round(st.st_length(st.st_offset_curve("rim", F.lit(20.0), join)), 3).alias(join) for join in ("round", "bevel", "miter", "square")))
 
 
