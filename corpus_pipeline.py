@@ -8,14 +8,16 @@ of each text or class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.llm.exact_dedup import exact_dedup
-from landgrid.llm.near_dedup import near_dedup
+from landgrid.llm.exact_dedup import digest, exact_dedup
+from landgrid.llm.near_dedup import near_rows, with_words_key
 from landgrid.llm.packing import pack
 from landgrid.llm.quality_model import keep_quality, train_quality
 from landgrid.llm.shared import Scratch, discard, documents, key_bitmap, written
@@ -35,25 +37,33 @@ def _by_bitmap(bitmap: np.ndarray, bits: int, marked: bool):
     return rows
 
 
-def _rows_of(docs: DataFrame, report: DataFrame) -> DataFrame:
-    """The rows of docs that a report (doc_id, kept) keeps; where an id comes more than once, as many as it keeps.
+def _rows_of(docs: DataFrame, report: DataFrame, keyed: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of docs that a report (doc_id, kept, keys) keeps; keyed gives docs the keys, which tell an id's texts apart.
 
     Rows whose id surely loses none pass where they are; only the others meet the report in a join.
     """
-    report = written(report.select("doc_id", "kept"), "pipeline-report")
+    report = written(report.select("doc_id", "kept", *keys), "pipeline-report")
     tally = report.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept"))
     lossy = written(tally.filter("_kept < _rows or doc_id is null"), "pipeline-lossy")
     bitmap, bits = key_bitmap(lossy.filter("doc_id is not null").select(F.col("doc_id").alias("key")))
     sure, doubtful = (docs.mapInArrow(_by_bitmap(bitmap, bits, marked), docs.schema) for marked in (False, True))
-    found = sure.unionByName(doubtful.join(lossy.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"))
-    mixed = lossy.filter("_kept > 0").select("doc_id", "_kept")
-    return found if mixed.isEmpty() else found.unionByName(_of_repeated(doubtful, mixed))
+    found = sure.unionByName(doubtful.filter("doc_id is not null").join(lossy.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    mixed = lossy.filter("_kept > 0").select("doc_id")
+    if mixed.isEmpty():
+        return found
+    kept = report.filter("kept").select("doc_id", *keys)
+    kept = kept.filter("doc_id is null").unionByName(kept.join(mixed, "doc_id", "left_semi"))
+    return found.unionByName(_of_repeated(keyed(doubtful), kept, keys, docs.columns))
 
 
-def _of_repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    rows = docs.join(mixed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    by_length = Window.partitionBy("_id").orderBy(F.length("text").desc(), "text")
-    return rows.withColumn("_n", F.row_number().over(by_length)).filter("_n <= _kept").select(*docs.columns)
+def _of_repeated(docs: DataFrame, kept: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """For each kept (doc_id, keys) one row, the longest; map tasks fold an id's equal texts first."""
+    first = F.min_by(F.struct(*columns), F.struct(-F.coalesce(F.length("text"), F.lit(-1)), "text"))
+    rows = docs.groupBy(F.col("doc_id").alias("_id"), *keys).agg(first.alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id"))
+    for k in keys:
+        same &= rows[k] == kept[k]
+    return rows.join(kept, same, "left_semi").select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +74,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text."""
-    return _rows_of(docs, exact_dedup(docs))
+    return _rows_of(docs, exact_dedup(docs).withColumnRenamed("text_sha256", "_digest"), lambda d: d.withColumn("_digest", digest()), ["_digest"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return _rows_of(docs, near_dedup(docs))
+    return _rows_of(docs, near_rows(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), lambda d: with_words_key(d, "_k1", "_k2"), ["_k1", "_k2"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

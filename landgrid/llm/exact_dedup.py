@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.shared import SPACE, body, hold, tidy, written
@@ -140,13 +140,22 @@ def _own(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["digest", "keep_id", "n_low", "group_size"])
 
 
+def digest(text_col: str = "text") -> Column:
+    """Of the normalised text."""
+    return F.sha2(_plain(text_col).cast("binary"), 256)
+
+
+def _plain(text_col: str) -> Column:
+    return F.regexp_replace(body(text_col), SPACE, " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, max_bits: int = 20, relay_over: int = 4096) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Parameters: ``capacity`` entries to a bucket before it is split, ``max_bits`` leading key bits at most in the
     directory (its size bound), ``relay_over`` input partitions from which copies are folded once more on the way.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(body(text_col), SPACE, " ").alias("plain"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _plain(text_col).alias("plain"))
     keyed = plain.select("doc_id", F.xxhash64("plain").alias("key"), F.sha2(F.col("plain").cast("binary"), 256).alias("digest"), "plain")
     entries = written(keyed.select("doc_id", "key", "digest"), "exact-entries")
     bits = min(max_bits, max(4, math.ceil(math.log2(max(1, entries.count()) / capacity)) + 4))

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landgrid.llm.components import components
 from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, written
@@ -158,6 +159,17 @@ def _sign(width: int, weighted: bool, k: int, at_once: int = 300_000):
     return tidy(rows)
 
 
+def with_words_key(docs: DataFrame, k1: str, k2: str, text_col: str = "text") -> DataFrame:
+    """docs with the halves of the hash of their words."""
+
+    def rows(batches):
+        for batch in batches:
+            keys = [_key((t or "").lower().split()) for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_halves(keys)], [*batch.schema.names, k1, k2])
+
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())]))
+
+
 def _bands(k: int, rows_: int):
     def rows(batches):
         for batch in batches:
@@ -393,7 +405,10 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
 
 
 def _near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents with the hash of their words, and class_id and class_size of hashes in classes of several."""
+    """The documents with the hash of their words, and root, class_id and class_size of hashes in classes of several.
+
+    Classes are told apart by root: those without ids, or of rows that repeat an id, may share class_id.
+    """
     k = bands * rows
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("t"))
     signed = written(df.mapInArrow(_sign(width, weighted, k), "doc_id long, k1 long, k2 long, sig binary"), "near-signed")
@@ -426,7 +441,7 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     label = _classes(stars, sets, percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.join(label, "node", "left").select("k1", "k2", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    return signed, written(named.join(classes, "root").select("k1", "k2", "class_id", "class_size"), "near-classes")
+    return signed, written(named.join(classes, "root").select("k1", "k2", "root", "class_id", "class_size"), "near-classes")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
@@ -436,13 +451,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``weighted``: whether runs count as often as they occur. A link at the least similarity is missed where no band
     agrees: with 24 bands of 3 rows in 3 of 100 million cases.
     """
+    return near_rows(docs, id_col, text_col, width, percent, bands, rows, weighted).drop("k1", "k2")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
+    """The rows of near_dedup with the halves of the hash of their words, k1 and k2."""
     with Scratch() as scratch:
         signed, named = _near_classes(docs, id_col, text_col, width, percent, bands, rows, weighted)
         scratch.keep(signed), scratch.keep(named)
     one = F.lit(1).cast("long")
     out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     alone = F.col("class_size").isNull()
-    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), alone.alias("alone"))
+    out = out.select("doc_id", "k1", "k2", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), alone.alias("alone"))
     lead = ~F.col("alone") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    first = out.filter(lead).withColumn("kept", F.row_number().over(Window.partitionBy("class_id").orderBy("class_size")) == 1)
-    return out.filter(~lead).withColumn("kept", F.col("alone")).unionByName(first).drop("alone")
+    first = out.filter(lead).withColumn("kept", F.row_number().over(Window.partitionBy("root").orderBy("k1", "k2")) == 1)
+    return out.filter(~lead).withColumn("kept", F.col("alone")).unionByName(first).drop("alone", "root")
