@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _sent: set[str] = set()
-BATCH_ROWS = "2000"  # of the batches that Python workers get, for tables with long texts; Spark's own default is 10000
+BATCH_ROWS, BATCH_BYTES = "2000", str(2 << 20)  # of the batches that Python workers get; Spark's own defaults are 10000 rows of any length
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -19,6 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _sent:
         return spark
     _sent.add(context.applicationId)
