@@ -1,11 +1,11 @@
 """Quality rules by cross-document line frequency, with DataFrame functions only.
 
-Lines are normalised (spaces collapsed, trimmed, lower case) and hashed; for each host the distinct texts that hold a
-line are counted, exact copies once. Lines held by more texts than the host's limit are taken out, and documents that
-lose too large a share of their words are rejected, besides those that fail the base rules.
+Lines are normalised (spaces collapsed, trimmed, lower case) and hashed; for each host the distinct documents that hold
+a line are counted. Lines held by more documents than the host's limit are taken out, and documents that lose too large
+a share of their words are rejected, besides those that fail the base rules.
 
 Defined cases: null text has no words; a text without words fails the base rules; a null host is a host of its own;
-rows that repeat an id are judged row by row; an empty table gives an empty result; only the id, text and host columns
+rows that repeat an id are documents of their own; an empty table gives an empty result; only the id, text and host columns
 are read. Words and lines are compared by 64-bit hashes within a document or host.
 """
 
@@ -34,7 +34,7 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A row for each document with its base counts and its lines (hash of the normalised line, words in it)."""
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), body(text_col).alias("t"))
     df = df.select(
-        "row", "doc_id", "host", F.xxhash64("t", F.length("t")).alias("content"), _word_hashes(F.col("t")).alias("words"),
+        "row", "doc_id", "host", _word_hashes(F.col("t")).alias("words"),
         F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("held"),
@@ -48,29 +48,28 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tidy = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
     n_line = lambda x: F.size(F.array_remove(F.split(x, SPACE), ""))
     return df.select(
-        "row", "doc_id", "host", "content", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "row", "doc_id", "host", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("same") - F.size(F.array_distinct("same"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.transform("held", lambda x: F.struct(F.xxhash64(tidy(x)).alias("h"), n_line(x).alias("n"))).alias("lines"),
     )
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = 30, host_share: float = 0.2, lost_share: float = 0.7, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 30, host_share: float = 0.2, lost_share: float = 0.7, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """One row for each document: doc_id, base counts, base_failed, kept, n_removed_words.
 
-    A line is removed where more than max(``min_texts``, ``host_share`` of the host's distinct texts) hold it; a
+    A line is removed where more than max(``min_docs``, ``host_share`` of the host's documents) hold it; a
     document is depleted where at least ``lost_share`` of its words are in removed lines.
     """
     rows = written(document_measures(docs, id_col, text_col, host_col), "line-rules")
-    # any row of a text has the same lines: the hot groups of copies fold before the shuffle
-    texts = rows.groupBy("host", "content").agg(F.first(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("hs"))
-    texts = written(texts, "line-texts")
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), F.lit(host_share) * F.count("*")).alias("most"))
-    held = texts.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") > min_texts)
-    common = held.join(limits, "host").filter("n_texts > most").select("host", "h")
+    # map tasks count before the shuffle, so that a line or a host with a third of all rows is a row for each task
+    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(host_share) * F.count("*")).alias("most"))
+    held = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    held = held.groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    common = held.join(limits, "host").filter("n_docs > most").select("host", "h")
     lost = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     lost = lost.join(common, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))
-    out = rows.drop("lines", "content", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    out = rows.drop("lines", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     kept = ~F.col("base_failed") & (F.col("n_removed_words") < F.lit(lost_share) * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words")

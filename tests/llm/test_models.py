@@ -94,17 +94,17 @@ def test_quality_odd(odd, none):
 # line rules
 
 
-def brute_rules(rows, min_texts, share, lost):
+def brute_rules(rows, min_docs, share, lost):
     import re
 
     words_of = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
     tidy = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
-    hosts, held = collections.defaultdict(set), collections.defaultdict(set)
-    for _, t, h in rows:
-        hosts[h or ""].add(t or "")
+    hosts, held = collections.Counter(), collections.defaultdict(set)
+    for i, (_, t, h) in enumerate(rows):
+        hosts[h or ""] += 1
         for x in (t or "").split("\n"):
             if words_of(x):
-                held[h or "", tidy(x)].add(t or "")
+                held[h or "", tidy(x)].add(i)
     out = []
     for d, t, h in rows:
         t, h = t or "", h or ""
@@ -113,7 +113,7 @@ def brute_rules(rows, min_texts, share, lost):
         count = collections.Counter(runs)
         repeat = len({i + k for i, r in enumerate(runs) if count[r] > 1 for k in range(8)})
         lines = [x for x in t.split("\n") if words_of(x)]
-        gone = sum(len(words_of(x)) for x in lines if len(held[h, tidy(x)]) > max(min_texts, share * len(hosts[h])))
+        gone = sum(len(words_of(x)) for x in lines if len(held[h, tidy(x)]) > max(min_docs, share * hosts[h]))
         failed = len(words) < 20 or 100 * repeat > 30 * len(words)
         out.append((d, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeat, failed, not failed and gone < lost * len(words), gone))
     return sorted(out, key=repr)
@@ -122,11 +122,12 @@ def brute_rules(rows, min_texts, share, lost):
 def test_line_rules(spark, odd, none):
     line = "All rights reserved by the owner"
     rows = [(d, t, None) for d, t in ODD] + [(100 + i, f"{prose(700 + i, 30)}\n{line}\n{line}", "h") for i in range(8)] + [(200 + i, "\n".join([line, "Home About Contact " * 3, prose(5, 20), str(i)]), "h") for i in range(8)]
+    rows += [(300 + i, f"{prose(800, 25)}\n{prose(801, 25)}", "mirror") for i in range(6)] + [(400 + i, prose(900 + i, 30), "mirror") for i in range(12)]  # copies are documents of their own
     docs = spark.createDataFrame([(d, t, h, 1) for d, t, h in rows], "doc_id bigint, text string, source string, words int").repartition(3)
-    found = line_rules(docs, min_texts=3, host_share=0.1)
+    found = line_rules(docs, min_docs=3, host_share=0.1)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_rules(rows, 3, 0.1, 0.7)
     verdict = {r.doc_id: r.kept for r in found.collect()}
-    assert verdict[100] and not verdict[200]
+    assert verdict[100] and not verdict[200] and not verdict[300] and verdict[400]
     assert line_rules(none).collect() == [] and line_rules(odd).count() == len(ODD)
 
 
