@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,12 +59,14 @@ _scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; only where that is unset and one machine does all (tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = given.get() if given.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="landgrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -147,6 +150,17 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until they are none of the columns'."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,7 +14,7 @@ from landgrid.llm.bwt import repeated_starts
 from landgrid.llm.components import components
 from landgrid.llm.exact_dedup import Chains, ExtendibleDirectory, exact_dedup
 from landgrid.llm.near_dedup import Shingler, links, near_dedup, signatures
-from landgrid.llm.suffix_dedup import anchors, kept_bytes, removed_runs, suffix_dedup, without_repeats
+from landgrid.llm.suffix_dedup import anchors, halves, kept_bytes, removed_runs, suffix_dedup, without_repeats
 from tests.llm.conftest import ODD, prose
 
 
@@ -22,22 +22,39 @@ from tests.llm.conftest import ODD, prose
 
 
 def test_directory_doubles_and_splits():
-    counts = np.array([90, 1, 1, 1, 10, 10, 0, 0])
-    directory = ExtendibleDirectory(25).load(counts)
+    counts = [90, 1, 1, 1, 10, 10, 0, 0]
+    directory = ExtendibleDirectory(25, 3)
+    for slot, n in enumerate(counts):
+        directory.insert(slot, n)
     assert directory.depth == 3 and len(directory.slots) == 8
     keys = (np.arange(8, dtype=np.uint64) << np.uint64(61)).view(np.int64)
     buckets = directory.bucket_of(keys)
     load = collections.Counter()
-    for b, n in zip(buckets.tolist(), counts.tolist()):
+    for b, n in zip(buckets.tolist(), counts):
         load[b] += n
-    # only the bucket whose keys agree in all bits known may be overfull
+    # only the bucket whose keys agree in all bits known may be overfull; a split happens only where one overfills
     assert [n for n in load.values() if n > 25] == [90] and len(set(buckets[4:].tolist())) == 1
+    assert dict(enumerate(directory.load)) == {b: load[b] for b in range(len(directory.load))}
+
+
+def test_directory_holds_every_key_once():
+    rng = random.Random(5)
+    directory = ExtendibleDirectory(100, 10)
+    given = collections.Counter()
+    for _ in range(600):
+        slot = rng.randrange(1 << 10) if rng.random() < 0.7 else 77
+        given[slot] += (size := rng.randint(1, 40))
+        directory.insert(slot, size)
+    for slot, size in given.items():
+        bucket = int(directory.bucket_of(np.array([slot << 54], np.uint64).view(np.int64))[0])
+        assert directory.held[bucket][slot] == size
+        assert directory.load[bucket] <= 100 or len(directory.held[bucket]) == 1
 
 
 def test_chains_keep_texts_of_one_key_apart():
     chains = Chains()
     for text, low in ((b"a", 5), (b"b", 3), (b"a", 2), (b"a", 2), (b"b", None)):
-        chains.add(7, "", low, 1, 1, text)
+        chains.add(7, b"", low, 1, 1, text)
     assert [(r[2], r[3], r[4]) for r in chains.records()] == [(2, 2, 3), (3, 1, 2)]
 
 
@@ -58,8 +75,12 @@ def test_exact(odd, none):
     assert exact_dedup(none).collect() == []
 
 
-def test_exact_folds_on_the_way(odd):
-    found = exact_dedup(odd, capacity=2, relay_over=1).collect()
+def test_owners_chain_texts_of_one_key(odd, monkeypatch):
+    """All texts under one key: chains alone tell them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("landgrid.llm.exact_dedup.F.xxhash64", lambda *c: F.lit(5).cast("long"))
+    found = exact_dedup(odd, capacity=2).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=repr) == expected_exact(ODD)
 
 
@@ -206,7 +227,8 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     for n in range(40):
         texts = [bytes(rng.choice(b"ab" if n % 3 else b"abcdefgh") for _ in range(rng.randint(0, 150))) for _ in range(5)]
-        text, gram, first, windows = anchors(texts, 40)
+        text, gram, first, windows, at = anchors(texts, 40)
+        assert all((0 <= at) & (at <= 8) & (at >= windows - 1))
         places = [(int(a), int(b) + k, int(g)) for a, g, b, c in zip(text, gram, first, windows) for k in range(c)]
         assert sorted(p[:2] for p in places) == [(i, j) for i, t in enumerate(texts) for j in range(len(t) - 39)]
         seen: dict = {}
@@ -223,7 +245,7 @@ def expected_suffix(rows, least=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"hot_bytes": 1000, "task_bytes": 5000}])
+@pytest.mark.parametrize("sizes", [{}, {"most_bytes": 1000, "task_bytes": 5000}, {"most_bytes": 1, "task_bytes": 5000}])
 def test_suffix(spark, none, sizes):
     passage = prose(60, 60)
     rows = [*ODD, *((300 + i, f"{prose(500 + i, 10)} {passage} {prose(600 + i, 10)}") for i in range(12)), (400, prose(61, 80) + prose(61, 80)), (401, "é" * 150 + prose(5, 40)), (402, "zé" + "é" * 150)]
@@ -232,6 +254,34 @@ def test_suffix(spark, none, sizes):
     assert suffix_dedup(none).collect() == []
 
 
+def test_halves_deal_equal_windows_alike():
+    rng = random.Random(8)
+    least, gram = 40, 32
+    for _ in range(60):
+        base = bytes(rng.choice(b"abcd") for _ in range(90))
+        segments = []
+        for _ in range(4):  # segments around one anchor, with other bytes beside it
+            at, n = rng.randint(0, 8), rng.randint(1, 9)
+            n = min(n, at + 1)
+            left = bytes(rng.choice(b"ab") for _ in range(at))
+            right = bytes(rng.choice(b"ab") for _ in range(n - 1 + least - gram - at))
+            segments.append((left + base[:gram] + right, at))
+        todo, dealt = [(s, at, 0, 8, 0, 0, k) for k, (s, at) in enumerate(segments)], {}
+        while todo:
+            segment, at, lo, hi, group, shift, k = todo.pop()
+            if lo == hi:
+                assert len(segment) == least and shift not in dealt.get((k, shift), {})
+                dealt[k, shift] = (group, segment)
+                continue
+            todo += [(part, at - s, low, high, g, shift + s, k) for s, g, low, high, part in halves(segment, at, lo, hi, group, least)]
+        # each window is dealt once, and groups at the end are those of equal windows
+        assert sorted(dealt) == [(k, w) for k, (s, _) in enumerate(segments) for w in range(len(s) - least + 1)]
+        by_group, by_window = {}, {}
+        for (k, w), (group, piece) in dealt.items():
+            assert piece == segments[k][0][w : w + least]
+            assert by_group.setdefault(group, piece) == piece and by_window.setdefault(piece, group) == group
+
+
 def test_suffix_removal_keeps_columns(spark, odd, none):
     out = without_repeats(odd)
     assert out.schema == odd.schema and out.count() == odd.count()
