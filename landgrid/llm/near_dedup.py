@@ -1,25 +1,28 @@
 """Near-dedup by dart throwing (sparse weighted minwise signatures) and banded joining.
 
-The elements of a document are its distinct runs of ``width`` words, each with a weight (1, or how often it occurs).
-Above each unit of an element's weight lies a line on which hashed darts fall at the arrivals of a unit Poisson
-process; all documents with that unit see the same darts. A document takes the darts that arrive before a time at
-which about ``t = k (ln k + 2)`` have hit its weight, whatever its size, deals them to k coordinates by hash, and keeps
-the earliest of each; where a coordinate stays empty it waits twice as long. Two signatures agree in a coordinate with
-the probability of the documents' weighted Jaccard similarity.
-
-Documents with equal words (by a 128-bit hash) fold into one node first, named by half of the hash. Nodes that agree in
-all rows of a band share a bucket. Clusters are the components of nodes of one bucket whose signatures agree in so many
-coordinates that a pair at the least similarity misses it by 4.6 standard deviations only: all members of a bucket meet
-a leader, and buckets that then still span several clusters are searched in full where they are small, and split by
-the other bands where they are large; what is large after DEPTH splits is searched in blocks. Searches give one link
-for each merger, not all pairs. Within a cluster, links are exact: inverted lists of the whole element sets give a
-node's common weight with all others at once, and the classes are the components of the pairs that reach the least
-similarity. Clusters beyond a task go to tasks by pairs of blocks.
+The elements of a document are its distinct runs of ``width`` words, weighted by how often they occur (or 1 each). The
+weight axis of an element is cut into regions, 0 to 1 and then twice as long each; hashed darts fall on a region at the
+arrivals of a Poisson process with the region's length as its rate, each at a hashed height, and all documents see the
+same darts. A document takes the darts below its element's weight that arrive before a time at which about
+``t = k (ln k + 2)`` have hit its total weight, deals them to k coordinates by hash, and keeps the earliest of each;
+where a coordinate stays empty it waits twice as long. So a signature costs about t darts and a few regions for each
+element, however large the weights. Two signatures agree in a coordinate with the probability of the documents' weighted
+Jaccard similarity.
+
+Documents with equal words (by a 128-bit hash) fold into one node first. Nodes that agree in all rows of a band share a
+bucket. Clusters are the components of nodes of one bucket whose signatures agree in so many coordinates that a pair at
+the least similarity misses it by 4.6 standard deviations only. All members of a bucket meet a leader; then, in buckets
+that still span several clusters, all members outside the bucket's largest cluster meet all members, as every link that
+is left has an end outside. Large buckets have their members meet further leaders first, and then go to tasks by blocks
+of those outside and blocks of all; nothing is left out at any size. Searches give one link for each merger, not all
+pairs. Within a cluster, links are exact: inverted lists of the whole element sets give a node's common weight with all
+others at once, and the classes are the components of the pairs that reach the least similarity. Members of a cluster
+beyond a task meet their leader exactly, and those that aren't linked to it meet all members, in blocks as well.
 
 Defined cases: null and empty texts have no words and form one class, as do other texts of equal words; texts of fewer
 words than ``width`` have one run of all; rows with a null id join classes, whose id is their least other id (null
 without any); rows that repeat an id keep a row each; of a class one row is kept; an empty table gives an empty
-result; only the id and text columns are read.
+result; only the id and text columns are read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,18 +32,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landgrid.llm.components import components
 from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, written
 
-BUCKET = 8192  # signatures that a task compares with each other
+BUCKET = 1024  # signatures of a block
 MASK = (1 << 64) - 1
-DEPTH = 3
-TASK_BYTES = 4 << 20  # of element sets that a task searches
-CLUSTER_BYTES = 16 << 20  # of a cluster's element sets from which it goes to several tasks
+LEADERS = 3  # that members of buckets with more than a block outside the largest cluster meet before blocks meet
+TASK_BYTES = 4 << 20  # of element sets that a task searches, and of a block of a larger cluster
 SEEN = 100_000  # texts that a task remembers so as not to sign their copies again
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,28 +82,38 @@ class Shingler:
 
 
 def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int) -> np.ndarray:
-    """A row of k 32-bit values for each document; no document may be without elements."""
+    """A row of k 32-bit values for each document; no document may be without elements. Weights are above 0."""
     out = np.zeros((len(elements), k), np.int32)
     todo, wait = np.arange(len(elements)), 1.0
     while len(todo):
         sizes = np.array([len(elements[d]) for d in todo])
-        units = np.concatenate([weights[d] for d in todo]).astype(np.int64)
-        base = np.repeat(np.concatenate([elements[d] for d in todo]), units)
-        doc = np.repeat(np.repeat(np.arange(len(todo)), sizes), units)
-        ends = np.cumsum(units)
-        unit = (np.arange(len(base)) - np.repeat(ends - units, units)).astype(np.uint64)
-        total = np.bincount(doc, minlength=len(todo))
-        until = (wait * k * (math.log(k) + 2) / total)[doc]
-        line, time, round_ = mix(base + STEP * (unit + np.uint64(1))), np.zeros(len(base)), 0
+        weight = np.concatenate([weights[d] for d in todo]).astype(np.float64)
+        owner = np.repeat(np.arange(len(todo)), sizes)
+        total = np.bincount(owner, weight, minlength=len(todo))
+        regions = 1 + np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)  # 0 to 1, 1 to 2, 2 to 4, ... up to the weight
+        ends = np.cumsum(regions)
+        region = np.arange(ends[-1]) - np.repeat(ends - regions, regions)
+        low = np.where(region == 0, 0.0, 2.0 ** (region - 1))
+        length = np.where(region == 0, 1.0, low)
+        doc = np.repeat(owner, regions)
+        share = (np.repeat(weight, regions) - low) / length  # of the region's heights that are below the weight
+        until = (wait * k * (math.log(k) + 2) / total)[doc] * length
+        line = mix(np.repeat(np.concatenate([elements[d] for d in todo]), regions) + STEP * (region.astype(np.uint64) + np.uint64(1)))
+        time, round_ = np.zeros(len(line)), 0  # in units in which each region has one dart
         found: list[tuple[np.ndarray, ...]] = []
         while len(line):
             round_ += 1
             dart = mix(line + np.uint64((int(STEP) * round_) & MASK))
             time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            hit = time < until
-            line, time, until, doc, dart = line[hit], time[hit], until[hit], doc[hit], dart[hit]
-            name = mix(dart ^ STEP)
-            found.append((doc * k + ((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64), time, (name & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            early = time < until
+            line, time, until, doc, share, length, dart = (x[early] for x in (line, time, until, doc, share, length, dart))
+            inside = share >= 1
+            if not inside.all():
+                part = np.flatnonzero(~inside)
+                inside[part] = ((mix(dart[part] + STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53) < share[part]
+            name = mix(dart[inside] ^ STEP)
+            place = doc[inside] * k + ((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+            found.append((place, time[inside] / length[inside], (name & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
         place, when, value = (np.concatenate(x) for x in zip(*found))
         late_first = np.argsort(-when)
         rows, filled = np.zeros(len(todo) * k, np.int32), np.zeros(len(todo) * k, bool)
@@ -146,7 +158,7 @@ def _sign(width: int, weighted: bool, k: int, at_once: int = 300_000):
                     seen.clear()
                 seen.add(keys[-1])
                 pending.append((i, *shingler.elements(words)))
-                held += int(pending[-1][2].sum()) + darts
+                held += 2 * len(pending[-1][2]) + darts
                 if held > at_once:
                     flush()
                     pending, held = [], 0
@@ -251,11 +263,11 @@ class _Merging:
         return int(np.argmax(self.size))
 
 
-def links(sets: list[bytes], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[bytes], percent: int, label: np.ndarray | None = None, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of element sets of at least the similarity that join them into their components (a spanning forest).
 
     Every link between two components has an end outside the largest, so that only members outside it are compared
-    with all. block: only pairs across two blocks count.
+    with all. label: components that are known; asking: only members marked are compared with all.
     """
     n = len(sets)
     runs, weights = map(list, zip(*map(_weights_of, sets)))
@@ -268,25 +280,38 @@ def links(sets: list[bytes], percent: int, block: np.ndarray | None = None) -> l
     counts = np.bincount(ids)
     begins = np.cumsum(counts) - counts
     ends = np.cumsum(sizes)
-    merging, done, found = _Merging(n), np.zeros(n, bool), []
-    while True:
-        todo = np.flatnonzero(~done & (merging.of != merging.largest)) if found or done.any() else np.arange(min(1, n))
-        if not len(todo):
-            return found
+    merging, done, found = _Merging(n, label), np.zeros(n, bool), []
+
+    def compare(i: int) -> None:
+        done[i] = True
+        own = slice(ends[i] - sizes[i], ends[i])
+        lengths = counts[ids[own]]
+        last = np.cumsum(lengths)
+        places = listed[np.arange(last[-1]) + np.repeat(begins[ids[own]] - (last - lengths), lengths)] if len(last) else listed[:0]
+        common = np.bincount(owner[places], np.minimum(weight[places], np.repeat(weight[own], lengths)), minlength=n)
+        near = 100 * common >= percent * (total[i] + total - common)
+        near[i] = False
+        found.extend((i, j) for j in merging.link(i, np.flatnonzero(near)))
+
+    if asking is not None:
+        for i in np.flatnonzero(asking).tolist():
+            compare(i)
+        return found
+    if n:
+        compare(0)
+    while len(todo := np.flatnonzero(~done & (merging.of != merging.largest))):
         for i in todo.tolist():
-            if done[i] or (done.any() and merging.of[i] == merging.largest):
-                continue
-            done[i] = True
-            own = slice(ends[i] - sizes[i], ends[i])
-            lengths = counts[ids[own]]
-            last = np.cumsum(lengths)
-            places = listed[np.arange(last[-1]) + np.repeat(begins[ids[own]] - (last - lengths), lengths)] if len(last) else listed[:0]
-            common = np.bincount(owner[places], np.minimum(weight[places], np.repeat(weight[own], lengths)), minlength=n)
-            near = 100 * common >= percent * (total[i] + total - common)
-            if block is not None:
-                near &= block != block[i]
-            near[i] = False
-            found += [(i, j) for j in merging.link(i, np.flatnonzero(near))]
+            if merging.of[i] != merging.largest:
+                compare(i)
+    return found
+
+
+def _edges(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _ints(table: pa.Table, name: str) -> np.ndarray:
+    return np.array(table.column(name).to_pylist(), np.int64)
 
 
 def _linked(percent: int):
@@ -294,38 +319,68 @@ def _linked(percent: int):
 
     def one(table: pa.Table) -> pa.Table:
         hold("near")
-        cluster, node, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cluster", "node", "block"))
+        cluster, node = _ints(table, "cluster"), _ints(table, "node")
         runs = table.column("runs").to_pylist()
         order = np.argsort(cluster, kind="stable")
         cuts = np.flatnonzero(np.diff(cluster[order], prepend=cluster[order[:1]] - 1))
         a, b = [], []
         for part in np.split(order, cuts[1:]):
-            across = block[part] if len(np.unique(block[part])) > 1 else None
-            for i, j in links([runs[k] for k in part.tolist()], percent, across):
+            for i, j in links([runs[k] for k in part.tolist()], percent):
                 a.append(int(node[part[i]]))
                 b.append(int(node[part[j]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(a, b)
 
     return one
 
 
+def _linked_across(percent: int):
+    """Links of a block of a cluster's asking members with a block of all its members."""
+
+    def one(table: pa.Table) -> pa.Table:
+        hold("near")
+        node, label, asking = _ints(table, "node"), _ints(table, "label"), _ints(table, "asking") > 0
+        found = links(table.column("runs").to_pylist(), percent, label, asking) if asking.any() else []
+        return _edges([int(node[i]) for i, _ in found], [int(node[j]) for _, j in found])
+
+    return one
+
+
+def _met_leader(percent: int):
+    """node, lead: members whose elements are similar enough to their leader's."""
+
+    def rows(batches):
+        hold("near")
+        lead, own, held = None, None, None
+        for batch in batches:
+            keep = []
+            for i, (l, leading, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lead", "lead_runs", "runs")))):
+                if l != lead:
+                    lead, (own, held) = l, _weights_of(leading)
+                other, weight = _weights_of(runs)
+                _, x, y = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+                common = int(np.minimum(held[x], weight[y]).sum())
+                if 100 * common >= percent * (int(held.sum()) + int(weight.sum()) - common):
+                    keep.append(i)
+            yield batch.select(["node", "lead"]).take(pa.array(keep, pa.int64()))
+
+    return rows
+
+
 def _searched(k: int, least: int):
-    """Links that merge the clusters of a bucket's nodes, by their signatures; of two blocks those across."""
+    """Links that merge the clusters of a bucket's nodes, by their signatures: the asking ones are compared with all."""
 
     def one(table: pa.Table) -> pa.Table:
+        hold("near")
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, k)
-        node, label, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "label", "block"))
-        across = len(np.unique(block)) > 1
+        node, label = _ints(table, "node"), _ints(table, "label")
         merging, a, b = _Merging(len(node), label), [], []
-        for i in range(len(node) - 1):
-            others = np.flatnonzero(merging.of[i + 1 :] != merging.of[i]) + i + 1
-            if across:
-                others = others[block[others] != block[i]]
+        for i in np.flatnonzero(_ints(table, "asking")).tolist():
+            others = np.flatnonzero(merging.of != merging.of[i])
             others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
             for j in merging.link(i, others):
                 a.append(int(node[i]))
                 b.append(int(node[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(a, b)
 
     return one
 
@@ -333,53 +388,54 @@ def _searched(k: int, least: int):
 class _Search:
     """Clusters of nodes, while buckets are searched."""
 
-    def __init__(self, sigs: DataFrame, k: int, rows: int, percent: int):
-        self.sigs, self.k, self.rows = sigs, k, rows
+    def __init__(self, sigs: DataFrame, k: int, percent: int):
+        self.sigs, self.k = sigs, k
         p = percent / 100
         self.least = max(1, math.floor(k * (p - 4.6 * math.sqrt(p * (1 - p) / k))))
         self.stars = sigs.sparkSession.createDataFrame([], "a long, b long")
 
-    def labelled(self, entries: DataFrame) -> DataFrame:
-        stars = self.stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        return entries.select("bucket", "node").join(stars, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-
     def open(self, entries: DataFrame) -> DataFrame:
-        """Entries, with their labels, of buckets that span several clusters, and the buckets' sizes."""
-        labelled = written(self.labelled(entries), "near-labelled")
-        wide = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "size")
-        return written(labelled.join(wide, "bucket"), "near-open")
+        """Entries, with their labels, of buckets that span several clusters; the buckets' sizes; whether a member is outside the largest cluster."""
+        stars = self.stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labelled = entries.select("bucket", "node").join(stars, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        labelled = written(labelled, "near-labelled")
+        wide = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+        parts = labelled.join(wide, "bucket", "left_semi").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"))
+        found = labelled.join(sizes, "bucket").select("bucket", "node", "label", "size", (F.col("size") - F.col("most")).alias("outside"), (F.col("label") != F.col("major")).alias("asking"))
+        return written(found, "near-open")
 
     def link(self, edges: DataFrame) -> None:
         edges = written(edges, "near-links")
         if not edges.isEmpty():
             self.stars = components(self.stars.unionByName(edges))
 
-    def star(self, entries: DataFrame, seed: int) -> None:
+    def star(self, entries: DataFrame, seed: int, leading="true") -> None:
         """All members of a bucket meet its leader, by one order of all nodes for each seed, so that alike buckets share it."""
-        lead = entries.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(seed))).alias("lead"))
+        lead = entries.filter(leading).groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(seed))).alias("lead"))
         met = entries.join(lead, "bucket").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         side = lambda c: self.sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
         self.link(met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(self.k, self.least), "a long, b long"))
 
-    def search(self, entries: DataFrame, blocks: bool = False) -> None:
-        """All of small buckets, or of large ones in pairs of blocks."""
-        rows = entries.join(self.sigs, "node")
-        rows = in_blocks(rows, F.ceil(F.col("size") / BUCKET)) if blocks else rows.select("*", *(F.lit(0).alias(c) for c in ("block", "lo", "hi")))
-        rows = rows.select("bucket", "node", "label", "sig", "block", "lo", "hi")
-        self.link(rows.groupBy("bucket", "lo", "hi").applyInArrow(_searched(self.k, self.least), "a long, b long"))
+    def search(self, entries: DataFrame) -> None:
+        """Members outside the largest cluster with all."""
+        rows = across(entries.join(self.sigs, "node"), F.ceil(F.col("outside") / BUCKET), F.ceil(F.col("size") / BUCKET))
+        rows = rows.select("bucket", "ask_block", "all_block", "node", "label", "sig", F.col("asking").cast("int").alias("asking"))
+        self.link(rows.groupBy("bucket", "ask_block", "all_block").applyInArrow(_searched(self.k, self.least), "a long, b long"))
 
-    def split(self, entries: DataFrame) -> DataFrame:
-        """Each bucket once more by every band; what had not two members is gone."""
-        bands = self.sigs.join(entries.select("node").distinct(), "node").mapInArrow(_bands(self.k, self.rows), "bucket long, node long")
-        finer = entries.select("bucket", "node").join(bands.withColumnRenamed("bucket", "band"), "node").filter("bucket <> band")
-        return shared_buckets(finer.select(F.xxhash64("bucket", "band").alias("bucket"), "node"))
 
+def across(rows: DataFrame, asks, alls) -> DataFrame:
+    """Rows (with node and asking) for tasks ask_block, all_block: each row of all asking blocks, and each asking row beside all blocks.
 
-def in_blocks(rows: DataFrame, blocks) -> DataFrame:
-    """Rows (with node) once for each pair lo, hi of blocks that their block is in."""
-    rows = rows.withColumn("_n", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_n", "_other")
+    Where there is one block of either, rows come once. In other tasks only rows that come for their asking are marked so.
+    """
+    rows = rows.withColumns({"_asks": F.greatest(asks.cast("int"), F.lit(1)), "_alls": F.greatest(alls.cast("int"), F.lit(1))})
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    one = rows.filter("_alls = 1").withColumns({"ask_block": F.lit(0), "all_block": F.lit(0)})
+    several = rows.filter("_alls > 1")
+    base = several.withColumn("all_block", block("_alls", 1)).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).withColumn("asking", F.lit(False))
+    asked = several.filter("asking").withColumn("ask_block", block("_asks", 2)).withColumn("all_block", F.explode(F.sequence(F.lit(0), F.col("_alls") - 1)))
+    return one.unionByName(base).unionByName(asked).drop("_asks", "_alls")
 
 
 def _classes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -389,13 +445,23 @@ def _classes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = written(rows, "near-clusters")
     sizes = rows.groupBy("cluster").agg(F.sum("bytes").alias("total"))
     tasks = max(1, math.ceil((sizes.agg(F.sum("total")).first()[0] or 0) / TASK_BYTES))
-    rows = rows.join(sizes, "cluster").select("cluster", "node", "runs", "total")
     kind = "a long, b long"
-    small = rows.filter(F.col("total") <= CLUSTER_BYTES).select("cluster", "node", "runs", F.lit(0).alias("block"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"))
-    found = small.groupBy("task").applyInArrow(_linked(percent), kind)
-    large = in_blocks(rows.filter(F.col("total") > CLUSTER_BYTES), F.ceil(2 * F.col("total") / CLUSTER_BYTES))
-    found = found.unionByName(large.select("cluster", "node", "runs", "block", "lo", "hi").groupBy("cluster", "lo", "hi").applyInArrow(_linked(percent), kind))
-    return components(found)
+    large = written(sizes.filter(F.col("total") > TASK_BYTES), "near-large")
+    some_large = not large.isEmpty()
+    small = rows.join(large.select("cluster"), "cluster", "left_anti") if some_large else rows
+    found = small.select("cluster", "node", "runs", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task")).groupBy("task").applyInArrow(_linked(percent), kind)
+    if not some_large:
+        return components(written(found, "near-found"))  # written apart from their reduction, so that a task has one Python worker at a time
+    rows = rows.join(large, "cluster").select("cluster", "node", "runs", "bytes", "total")
+    leaders = rows.filter("node = cluster").select("cluster", F.col("node").alias("lead"), F.col("runs").alias("lead_runs"))
+    met = rows.filter("node <> cluster").join(leaders, "cluster").select("node", "lead", "runs", "lead_runs")
+    starred = written(met.mapInArrow(_met_leader(percent), "node long, lead long"), "near-met")
+    rows = rows.join(starred, "node", "left").withColumn("asking", F.col("lead").isNull() & (F.col("node") != F.col("cluster"))).withColumn("label", F.coalesce("lead", "node")).drop("lead")
+    outside = rows.groupBy("cluster").agg(F.sum(F.when(F.col("asking"), F.col("bytes")).otherwise(0)).alias("outside")).filter("outside > 0")
+    rows = across(rows.join(outside, "cluster"), F.ceil(F.col("outside") / TASK_BYTES), F.ceil(F.col("total") / TASK_BYTES))
+    rows = rows.select("cluster", "ask_block", "all_block", "node", "label", "runs", F.col("asking").cast("int").alias("asking"))
+    found = found.unionByName(starred.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    return components(written(found.unionByName(rows.groupBy("cluster", "ask_block", "all_block").applyInArrow(_linked_across(percent), kind)), "near-found"))
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -411,58 +477,58 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     """
     k = bands * rows
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("t"))
-    signed = written(df.mapInArrow(_sign(width, weighted, k), "doc_id long, k1 long, k2 long, sig binary"), "near-signed")
+    signed = df.mapInArrow(_sign(width, weighted, k), "doc_id long, k1 long, k2 long, sig binary").withColumn("row", F.monotonically_increasing_id())
+    signed = written(signed, "near-signed")
     nodes = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("sig").alias("sig"))
-    nodes = written(nodes.select("k1", "k2", F.col("k1").alias("node"), "least", "copies", "sig"), "near-nodes")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")  # a number for each hash of 128 bits
     sigs = nodes.filter("sig is not null").select("node", "sig")
     buckets = shared_buckets(sigs.mapInArrow(_bands(k, rows), "bucket long, node long"))
     paired = written(nodes.join(buckets.select("node").distinct(), "node").select("node", "sig"), "near-paired")
-    search = _Search(paired, k, rows, percent)
-
-    for depth in range(DEPTH + 1):
-        search.star(buckets, depth)
-        left = search.open(buckets)
-        small = left.filter(F.col("size") <= BUCKET)
-        if not small.isEmpty():
-            search.search(small)
-        large = left.filter(F.col("size") > BUCKET)
+
+    search = _Search(paired, k, percent)
+    search.star(buckets, 0)
+    left = search.open(buckets)
+    for seed in range(1, LEADERS):
+        large = left.filter(F.col("outside") > BUCKET)
         if large.isEmpty():
             break
-        if depth == DEPTH:
-            search.search(large, blocks=True)
-        else:
-            buckets = search.split(large)
+        search.star(large, seed, "asking")
+        left = search.open(left)
+    search.search(left)
 
     stars = search.stars
     clustered = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    bitmap, bits = key_bitmap(clustered.select(F.col("node").alias("key")))
+    clustered = written(clustered.join(nodes.select("node", "k1", "k2"), "node"), "near-clustered")
+    bitmap, bits = key_bitmap(clustered.select(F.col("k1").alias("key")))
     sets = df.select("t").mapInArrow(_sets(width, weighted, bitmap, bits), "k1 long, k2 long, runs binary")
-    sets = sets.select(F.col("k1").alias("node"), "runs").join(clustered, "node").groupBy("node").agg(F.first("runs").alias("runs"))
+    sets = sets.join(clustered, ["k1", "k2"]).groupBy("node").agg(F.first("runs").alias("runs"))
     label = _classes(stars, sets, percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.join(label, "node", "left").select("k1", "k2", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
     return signed, written(named.join(classes, "root").select("k1", "k2", "root", "class_id", "class_size"), "near-classes")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = True) -> DataFrame:
     """One row for each document: doc_id, class_id (least id of the class), class_size, kept.
 
     Parameters: runs of ``width`` words, links from a similarity of ``percent``, ``bands`` of ``rows`` coordinates,
-    ``weighted``: whether runs count as often as they occur. A link at the least similarity is missed where no band
-    agrees: with 24 bands of 3 rows in 3 of 100 million cases.
+    ``weighted``: whether runs count as often as they occur. With 24 bands of 3 rows, a link at exactly 0.8 is missed
+    where no band agrees (3 in 100 million) or too few coordinates do (3 in a million), at any size of a bucket.
     """
     return near_rows(docs, id_col, text_col, width, percent, bands, rows, weighted).drop("k1", "k2")
 
 
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = False) -> DataFrame:
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, weighted: bool = True) -> DataFrame:
     """The rows of near_dedup with the halves of the hash of their words, k1 and k2."""
     with Scratch() as scratch:
         signed, named = _near_classes(docs, id_col, text_col, width, percent, bands, rows, weighted)
         scratch.keep(signed), scratch.keep(named)
     one = F.lit(1).cast("long")
-    out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = signed.select("row", "doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     alone = F.col("class_size").isNull()
-    out = out.select("doc_id", "k1", "k2", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), alone.alias("alone"))
+    out = out.select("row", "doc_id", "k1", "k2", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), alone.alias("alone"))
     lead = ~F.col("alone") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    first = out.filter(lead).withColumn("kept", F.row_number().over(Window.partitionBy("root").orderBy("k1", "k2")) == 1)
-    return out.filter(~lead).withColumn("kept", F.col("alone")).unionByName(first).drop("alone", "root")
+    led = out.filter(lead)  # rows that repeat the least id, or null ids, lead together: one stays
+    first = led.groupBy("root").agg(F.min(F.struct("k1", "k2", "row")).alias("first"))
+    led = led.join(first, "root").withColumn("kept", F.col("row") == F.col("first.row")).drop("first")
+    return out.filter(~lead).withColumn("kept", F.col("alone")).unionByName(led).drop("alone", "root", "row")

@@ -22,6 +22,7 @@ from landgrid.session import ship
 
 SPACE = r"[\x20\x09-\x0D]+"
 M_MMAP_THRESHOLD = -3  # of mallopt
+GROUP_BYTES = 16 << 20  # of a Parquet row group, which a writing task holds in memory
 MAP_BITS = 24  # of a key bitmap: 2 MB at most, whatever the input
 _written: list[tuple[SparkSession, str]] = []  # to be discarded when the process ends
 
@@ -76,7 +77,7 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     open_scratch = _scratch.get()
