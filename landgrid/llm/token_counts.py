@@ -3,7 +3,9 @@
 The distinct pre-tokens that a task meets are inserted in a trie. A node stands for a prefix and keeps the forward
 score of the best segmentation of that prefix and its number of tokens, found once from the nodes above it however
 many pre-tokens share the prefix; a pre-token's count is stored at its terminal. A document's count is the sum over
-its pre-tokens. Nothing is shuffled; trie and counts start anew beyond ``max_nodes`` nodes, which bounds memory.
+its pre-tokens. Nothing is shuffled; trie and counts start anew beyond ``max_nodes`` nodes, which bounds memory. A
+pre-token beyond LONG characters, which shares little with others, runs through the same recursion without nodes: only
+the scores of as many prefixes as the longest piece has characters are held.
 
 Scores: the vocabulary is ordered by rank, and a piece of rank r weighs -log(r + 1) less a constant for each token. A
 character without a piece falls back to one token for each of its bytes.
@@ -15,6 +17,7 @@ an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm.shared import body, hold
 
+LONG = 4096  # characters of a pre-token that the trie takes
 MARK = "▁"  # begins a pre-token in the vocabulary
 
 
@@ -45,30 +49,59 @@ class PrefixTrie:
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
-        self.best, self.tokens = [0.0], [0]
+        self.known = [(0.0, 0)]  # by node: score and tokens
         self.terminal: dict[str, int] = {}
 
     def __len__(self) -> int:
-        return len(self.best)
+        return len(self.known)
+
+    def _step(self, word: str, d: int, before: list[tuple[float, int]]) -> tuple[float, int]:
+        """Score and tokens of the best segmentation of word[:d]; before: those of the last prefixes, the shortest first.
+
+        Of equal scores the one with the longest last piece.
+        """
+        n_bytes = len(word[d - 1].encode("utf-8", "surrogatepass"))
+        top, count = before[-1][0] + n_bytes * self.fallback, before[-1][1] + n_bytes
+        for k, (best, tokens) in enumerate(before, d - len(before)):
+            score = self.scores.get(word[k:d])
+            if score is not None and best + score > top:
+                top, count = best + score, tokens + 1
+        return top, count
 
     def insert(self, word: str) -> int:
-        """Adds the prefixes of word; the number of tokens in the best segmentation of word; of equal scores the one with the longest last piece."""
-        child, best, tokens, scores = self.child, self.best, self.tokens, self.scores
-        path, node = [0], 0
+        """Adds the prefixes of word; the number of tokens in the best segmentation of word."""
+        child, known = self.child, self.known
+        last, node = [known[0]], 0
         for d, char in enumerate(word, 1):
             nxt = child.get((node, char))
             if nxt is None:
-                n_bytes = len(char.encode("utf-8", "surrogatepass"))
-                top, count = best[node] + n_bytes * self.fallback, tokens[node] + n_bytes
-                for k in range(max(0, d - self.longest), d):
-                    score = scores.get(word[k:d])
-                    if score is not None and best[path[k]] + score > top:
-                        top, count = best[path[k]] + score, tokens[path[k]] + 1
-                nxt = child[node, char] = len(best)
-                best.append(top)
-                tokens.append(count)
-            path.append(node := nxt)
-        return tokens[node]
+                nxt = child[node, char] = len(known)
+                known.append(self._step(word, d, last))
+            last.append(known[nxt])
+            if len(last) > self.longest:
+                del last[0]
+            node = nxt
+        return known[node][1]
+
+    def roll(self, word: str) -> int:
+        """The same number without nodes."""
+        last = [(0.0, 0)]
+        for d in range(1, len(word) + 1):
+            last.append(self._step(word, d, last))
+            if len(last) > self.longest:
+                del last[0]
+        return last[-1][1]
+
+    def count(self, pretoken: str, max_nodes: int) -> int:
+        """Tokens of a pre-token, from its terminal if it has one."""
+        n = self.terminal.get(pretoken)
+        if n is None:
+            if len(pretoken) > LONG:
+                return self.roll(MARK + pretoken)
+            if len(self) > max_nodes:
+                self.clear()
+            n = self.terminal[pretoken] = self.insert(MARK + pretoken)
+        return n
 
 
 @lru_cache(maxsize=2)
@@ -87,11 +120,7 @@ def _count(path: str, max_nodes: int):
                 try:
                     n = sum(map(trie.terminal.__getitem__, parts))
                 except KeyError:
-                    if len(trie) > max_nodes:
-                        trie.clear()
-                    for part in sorted({p for p in parts if p not in trie.terminal}):
-                        trie.terminal[part] = trie.insert(MARK + part)
-                    n = sum(map(trie.terminal.__getitem__, parts))
+                    n = sum(times * trie.count(part, max_nodes) for part, times in Counter(parts).items())
                 words.append(len(parts))
                 tokens.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
