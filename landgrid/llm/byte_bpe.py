@@ -7,7 +7,7 @@ Where an overlap has no common boundary (a run longer than it), the text is pre-
 The pieces are then encoded by rank; decoding joins the raw bytes of the ids.
 
 Defined cases: null and empty texts have no ids; rows that repeat an id are encoded row by row; an empty table gives
-an empty result; only the id and text columns are read.
+an empty result; only the id and text columns are read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -80,26 +80,38 @@ def rank_encoder(path: str, pattern: str) -> RankEncoder:
 
 
 def stitch(chunks: list[tuple[int, str, list[int]]], boundaries) -> list[str]:
-    """The pieces of a text from its chunks (start, text, ends of matches in the chunk), in order."""
+    """The pieces of a text from its chunks (start, text, ends of matches in the chunk), in order.
+
+    What has shown no sure boundary is scanned again only when it has doubled, so that long runs cost linear time.
+    """
     pieces: list[str] = []
-    at, held = 0, ""  # a right boundary that all pieces end at, and what is known of the text from there on
+    at, end = 0, 0  # a right boundary that all pieces end at; where the text that is held ends
+    held: list[str] = []  # the text from at on that the chunks so far have shown
+    scanned = 0  # characters of it that gave no boundary
     for k, (start, text, ends) in enumerate(chunks):
-        if at < start:  # the chunk before had no boundary in common with this one
-            text, start = held[: start - at] + text, at
+        last = k == len(chunks) - 1
+        if at < start or scanned:  # the chunk before had no boundary in common with this one
+            held.append(text[end - start :])
+            end = start + len(text)
+            if end - at < 2 * scanned and not last:
+                continue
+            text, start = "".join(held), at
             ends = boundaries(text)
         elif at - start not in {0, *ends}:
             text, start = text[at - start :], at
             ends = boundaries(text)
         places = [p for p in (start, *(start + e for e in ends)) if p >= at]
-        if k < len(chunks) - 1:
+        if not last:
             following, _, theirs = chunks[k + 1]
             meeting = {following, *(following + e for e in theirs)}
             sure = [p for p in places if p <= start + len(text) - GUARD] or [at]
             stop = next((p for p in sure if p in meeting), sure[-1])
             places = [p for p in places if p <= stop]
+        end = start + len(text)
+        scanned = end - at if places[-1] == at else 0
         pieces += [text[a - start : b - start] for a, b in zip(places, places[1:])]
         at = places[-1]
-        held = text[at - start :]
+        held = [text[at - start :]]
     return pieces
 
 
