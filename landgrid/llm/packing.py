@@ -1,7 +1,8 @@
 """Order-preserving packing of documents into sequences.
 
 A task lays its documents' ids end to end in blocks and chooses the cuts of each block by dynamic programming: cuts may
-fall at the ends of documents or sentences, and every FORCED ids inside runs without either. With f(j) the least cost
+fall at the ends of documents or sentences, and every part of FORCED of a window inside runs that are longer, at a penalty that only
+pays where it spares as many ids of padding, which few sentences but those longer than a window do. With f(j) the least cost
 up to cut j, f(j) = min over i with p(j) - p(i) <= W of f(i) + (W - (p(j) - p(i))) + penalty(j): the padding of the
 window plus what its cut costs. The least f(i) + p(i) in the sliding window comes from a monotone queue, so that a
 block takes linear time. The last window of a block, the only one that may be far from full, is cut on into powers of
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from landgrid.llm.shared import body, tidy
 from landgrid.llm.word_tokens import word_encoder
 
-FORCED = 16
-PENALTY_SENTENCE, PENALTY_FORCED = 2, 8
+FORCED = 32  # of a window: the step of cuts within a sentence, and the padding that such a cut must spare
+PENALTY_SENTENCE = 2  # in ids of padding
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,10 +35,10 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, window: int) -> tuple[np
     """Ascending places where a cut may fall (0 first) and what each costs. ends: of documents; sentences: of sentences."""
     natural = np.unique(np.concatenate([[0], ends, sentences]))
     gaps = np.diff(natural)
-    step = min(FORCED, window)
+    step = max(1, window // FORCED)
     forced = [np.arange(natural[k] + step, natural[k + 1], step) for k in np.flatnonzero(gaps > step)]
     places = np.unique(np.concatenate([natural, *forced])).astype(np.int64) if forced else natural.astype(np.int64)
-    cost = np.full(len(places), PENALTY_FORCED, np.int64)
+    cost = np.full(len(places), max(PENALTY_SENTENCE + 1, window // FORCED), np.int64)
     cost[np.searchsorted(places, sentences)] = PENALTY_SENTENCE
     cost[np.searchsorted(places, ends)] = 0
     return places, cost
@@ -73,8 +74,8 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
 
 
 def tail_cost(length: int, window: int) -> int:
-    """Of a last window: a forced cut for each of the powers of two but one."""
-    return PENALTY_FORCED * (len(powers(length, window)) - 1)
+    """Of a last window: eight ids for each of the powers of two but one."""
+    return 8 * (len(powers(length, window)) - 1)
 
 
 def powers(length: int, window: int) -> list[int]:

@@ -61,6 +61,21 @@ def test_ranks_as_the_library():
         assert encoder.decode(encoder.encode(text)) == text.encode()
 
 
+def test_stitching_a_run_without_boundaries_is_linear():
+    """White space has no boundary to resynchronise at; what is scanned again at most doubles with the text."""
+    encoder = rank_encoder(RANKS, public_tokenizers.PATTERN)
+    for text in (" " * 40_000, "a" * 40_000 + " b", " " * 20_000 + "a b c " * 3000):
+        scanned = [0]
+
+        def boundaries(t):
+            scanned[0] += len(t)
+            return encoder.boundaries(t)
+
+        chunks = [(s, text[s : s + 580], encoder.boundaries(text[s : s + 580])) for s in range(0, len(text) - 80, 500)]
+        assert stitch(chunks, boundaries) == [m.group() for m in encoder.pattern.finditer(text)]
+        assert scanned[0] < 6 * len(text)
+
+
 def expected_bpe(rows):
     encoder = rank_encoder(RANKS, public_tokenizers.PATTERN)
     out = []
@@ -105,6 +120,16 @@ def test_counts(odd, none):
     assert token_counts(none, PIECES).collect() == []
 
 
+def test_long_pretokens_need_no_nodes():
+    rng = random.Random(6)
+    trie = PrefixTrie(piece_scores(PIECES))
+    for _ in range(60):
+        word = MARK + "".join(rng.choice("abcdeimnorst中é\U0001f600") for _ in range(rng.randint(1, 80)))
+        assert trie.roll(word) == trie.insert(word) == viterbi(word, trie.scores, trie.fallback)
+    before = len(trie)
+    assert trie.count("base64" * 50_000, 500_000) > 50_000 and len(trie) == before
+
+
 def test_trie_shares_prefixes():
     trie = PrefixTrie({"a": -1.0, "ab": -1.5, "b": -1.0, "abc": -5.0})
     assert [trie.insert(w) for w in ("ab", "aba", "abc", "é")] == [1, 2, 1, 2]
