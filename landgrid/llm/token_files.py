@@ -1,10 +1,11 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-File ``ranks.ids``: unsigned 32-bit ids by falling frequency. File ``NNNNNNNN.tok`` (a shard; shards and documents in
-them ascend by doc_id): HEADER (magic, documents, tokens, control bytes, data bytes), the doc_ids (signed 64-bit), a
+File ``ranks.ids``: unsigned 32-bit ids by falling frequency. File ``PPPPPPPP-NNNNNNNN.tok`` (a shard: file N of range P;
+ranges, their shards and the documents in them ascend by doc_id): HEADER (magic, documents, tokens, control bytes, data bytes), the doc_ids (signed 64-bit), a
 byte for each document that is 1 where its id is null, the documents' token counts (unsigned 64-bit), the control
 bytes and the data bytes. A control byte has the byte lengths less one of four ranks, two bits each from the lowest;
-the ranks' bytes follow one another, lowest first. All numbers are little-endian.
+the ranks' bytes follow one another, lowest first. All numbers are little-endian. Table ``starts``: the number of ids
+before each shard, by its number P x 2^32 + N; readers join it, so that neither the driver nor a task holds all shards.
 
 Defined cases: null and empty texts have the end id only; null doc_ids come first; rows that repeat an id keep a place
 each; an empty table gives no shard and an empty result; only the id and text columns are read.
@@ -20,7 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.shared import body, shared_folder, written
@@ -32,6 +33,7 @@ CODES = np.arange(256, dtype=np.uint8)
 #: Byte lengths of the four ranks of a control byte.
 LENGTHS = np.stack([((CODES >> s) & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 HELD = 700_000  # words that an encoding task remembers
+RANGES = 1 << 14  # of doc_ids that tasks write, each one shard after another
 BLOCK = 1 << 16  # control bytes decoded at once
 
 
@@ -122,30 +124,40 @@ def _count(dtype: str):
     return rows
 
 
-def _write(folder: str, dtype: str, rank_of: np.ndarray):
+def _write(folder: str, dtype: str, rank_of: np.ndarray, shard_tokens: int):
     def rows(batches):
         from pyarrow import fs
 
-        doc_ids, ids = [], []
-        for batch in batches:
-            doc_ids += batch.column("doc_id").to_pylist()
-            ids += [np.frombuffer(x, dtype) for x in batch.column("ids").to_pylist()]
-        if not doc_ids:
-            return
-        shard = TaskContext.get().partitionId()
         store, place = fs.FileSystem.from_uri(folder)
-        # another attempt at this task writes the same bytes under a name of its own, and the last move stays
-        part = f"{place}/_{shard:08d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as out:
-            out.write(pack_shard(doc_ids, ids, rank_of))
-        store.move(part, f"{place}/{shard:08d}.tok")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([sum(map(len, ids))], pa.int64())], ["shard", "n_docs", "n_tokens"])
+        part, shard, written_ = TaskContext.get().partitionId(), 0, []
+        doc_ids, ids, held = [], [], 0
+
+        def write():
+            # another attempt at this task writes the same bytes under a name of its own, and the last move stays
+            own = f"{place}/_{part:08d}-{shard:08d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as out:
+                out.write(pack_shard(doc_ids, ids, rank_of))
+            store.move(own, f"{place}/{part:08d}-{shard:08d}.tok")
+            written_.append((part << 32 | shard, len(doc_ids), held))
+
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                doc_ids.append(doc_id)
+                ids.append(np.frombuffer(raw, dtype))
+                held += len(ids[-1])
+                if held >= shard_tokens:
+                    write()
+                    doc_ids, ids, held, shard = [], [], 0, shard + 1
+        if doc_ids:
+            write()
+        columns = list(zip(*written_)) if written_ else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "n_docs", "n_tokens"])
 
     return rows
 
 
-def write_token_files(encoded: DataFrame, folder: str, dtype: str, shard_tokens: int = 1 << 22) -> dict[int, int]:
-    """Writes ranks.ids and the shards; returns the ids before each shard (a shard holds about ``shard_tokens``)."""
+def write_token_files(encoded: DataFrame, folder: str, dtype: str, shard_tokens: int = 1 << 22) -> DataFrame:
+    """Writes ranks.ids, the shards of about ``shard_tokens`` ids (and one document more) and the table starts; returns that (shard, before)."""
     from pyarrow import fs
 
     counts = encoded.mapInArrow(_count(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
@@ -157,47 +169,48 @@ def write_token_files(encoded: DataFrame, folder: str, dtype: str, shard_tokens:
     store.create_dir(place, recursive=True)
     with store.open_output_stream(f"{place}/ranks.ids") as out:
         out.write(by_rank.tobytes())
-    shards = max(1, math.ceil(total / shard_tokens))
+    ranges = min(RANGES, max(1, math.ceil(total / shard_tokens)))
     tie = F.xxhash64("ids")
-    ordered = encoded.repartitionByRange(shards, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    found = ordered.mapInArrow(_write(folder, dtype, rank_of), "shard long, n_docs long, n_tokens long").collect()  # a row for each shard
-    before, at = {}, 0
-    for r in sorted(found, key=lambda r: r["shard"]):
-        before[r["shard"]] = at
-        at += r["n_tokens"]
-    return before
+    ordered = encoded.repartitionByRange(ranges, "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    shards = written(ordered.mapInArrow(_write(folder, dtype, rank_of, shard_tokens), "shard long, n_docs long, n_tokens long"), "token-shards")
+    # what comes before a shard: other ranges' shards (RANGES at most), and its own range's before it
+    ranges_ = shards.groupBy(F.shiftright("shard", 32).alias("range")).agg(F.sum("n_tokens").alias("n"))
+    ahead = lambda *order: F.coalesce(F.sum(order[0]).over(order[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    first = ranges_.select("range", ahead("n", Window.orderBy("range")).alias("first"))
+    own = shards.select("shard", F.shiftright("shard", 32).alias("range"), ahead("n_tokens", Window.partitionBy(F.shiftright("shard", 32)).orderBy("shard")).alias("own"))
+    return written(own.join(first, "range").select("shard", (F.col("first") + F.col("own")).alias("before")), "token-starts")
 
 
-def _read(by_rank: np.ndarray, before: dict[int, int], full: bool):
+def _read(by_rank: np.ndarray, full: bool):
     def rows(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                doc_ids, counts, ids = unpack_shard(content, by_rank)
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                doc_ids, counts, ids = unpack_shard(content.as_buffer().to_pybytes(), by_rank)
+                part, shard = map(int, name.as_py().rpartition("/")[2].removesuffix(".tok").split("-"))
                 ends = np.cumsum(counts)
                 starts = ends - counts
-                flat = memoryview(ids.astype("<u4").tobytes())
+                flat = memoryview(ids.astype("<u4", copy=False).tobytes())
                 parts = [flat[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                first = before[int(name.rpartition("/")[2].removesuffix(".tok"))]
                 last = pa.array([bytes(x) for x in parts], pa.binary()) if full else pa.array([zlib.crc32(x) for x in parts], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(first + starts, pa.int64()), pa.array(counts, pa.int64()), last], ["doc_id", "start", "n_tokens", "ids" if full else "ids_crc32"]
-                )
+                at = pa.array(np.full(len(doc_ids), part << 32 | shard, np.int64))
+                yield pa.RecordBatch.from_arrays([at, pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), last], ["shard", "doc_id", "place", "n_tokens", "ids" if full else "ids_crc32"])
 
     return rows
 
 
-def read_token_files(spark: SparkSession, folder: str, before: dict[int, int], full: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, starts: DataFrame, full: bool = False) -> DataFrame:
     """One row for each document of the files: doc_id, start, n_tokens and ids_crc32, or with ``full`` the ids' bytes."""
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(folder)
     with store.open_input_stream(f"{place}/ranks.ids") as ranks:
         by_rank = np.frombuffer(ranks.read(), "<u4")
-    schema = "doc_id long, start long, n_tokens long, " + ("ids binary" if full else "ids_crc32 long")
-    if not before:
-        return spark.createDataFrame([], schema)
+    last = "ids" if full else "ids_crc32"
+    if not len(by_rank):
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {last} {'binary' if full else 'long'}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    return files.mapInArrow(_read(by_rank, before, full), schema)
+    found = files.mapInArrow(_read(by_rank, full), f"shard long, doc_id long, place long, n_tokens long, {last} {'binary' if full else 'long'}")
+    return found.join(starts, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", last)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22, full: bool = False) -> DataFrame:
@@ -205,5 +218,5 @@ def token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_
     spark = docs.sparkSession
     encoded = written(encoded_documents(docs, path, end_id, id_col, text_col), "token-ids", codec="zstd")
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    before = write_token_files(encoded, folder, word_encoder(path).dtype.str, shard_tokens)
-    return read_token_files(spark, folder, before, full)
+    starts = write_token_files(encoded, folder, word_encoder(path).dtype.str, shard_tokens)
+    return read_token_files(spark, folder, starts, full)
