@@ -6,9 +6,11 @@ a later model learns from what it will meet. Features of a text: its words in lo
 letters, each once.
 
 Defined cases: null and empty texts have no features and get the chain's prior; labels with a null id or value and
-labels of absent documents are left out; with no labels or one class only the probability is the labels' share (0
-without any); rows that repeat an id are scored row by row; an empty table gives an empty result; only the named
-columns are read.
+labels of absent documents are left out; of labels that repeat an id the greatest value of each column counts; of
+documents that repeat a labelled id at most twice the sample's rows are learned from, those of least hash, equal ones
+once; with no labels or one class only the probability is the labels' share (0 without any); rows that repeat an id are
+scored row by row; an empty table gives an empty result; of docs only the id, the text and the columns that the
+categories name are read, and a column of docs that is named like a label doesn't hide it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.llm.linear import Logistic, Sparse, fit, slot
-from landgrid.llm.shared import body, hold
+from landgrid.llm.shared import body, hold, unused
 
 BITS = 18
 FOLDS = 3
@@ -117,9 +119,9 @@ def _features_of(extra: list[str]):
 
 def _fit(categories: list[str]):
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by([("doc_id", "ascending"), ("order", "ascending")])
         x = Sparse.of([np.array(s, np.int64) for s in table.column("slots").to_pylist()])
-        labels = np.column_stack([np.array(table.column(c).to_pylist(), np.int8) for c in categories])
+        labels = np.column_stack([np.array(table.column(f"y{k}").to_pylist(), np.int8) for k in range(len(categories))])
         chain = fit_chain(x, labels, categories, np.array(table.column("fold").to_pylist(), np.int64))
         return pa.table({"model": pa.array([pickle.dumps(chain)], pa.binary())})
 
@@ -129,21 +131,28 @@ def _fit(categories: list[str]):
 def train_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], final_label: str, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> Chain:
     """A chain trained on at most ``sample`` labelled documents, half of each class.
 
-    categories: for each category, in order, a 0/1 expression over the columns of docs and labels; final_label: the
-    0/1 column of labels by which the sample is balanced.
+    categories: for each category, in order, a 0/1 expression over the label columns and those of docs that have no
+    namesake there; final_label: the 0/1 column of labels by which the sample is balanced.
     """
-    names = list(categories)
-    given = labels.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    names, values = list(categories), [c for c in labels.columns if c != id_col]
+    given = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.max(c).alias(c) for c in values))
     rank = F.xxhash64(F.col(id_col).cast("long"))
     final = F.col(final_label).cast("int")
     # the sample's ids are bounded by its parameter, so the texts meet them by broadcast and never move
     chosen = [given.filter(final == y).orderBy(rank, id_col).limit(sample // 2) for y in (1, 0)]
     ids = chosen[0].unionByName(chosen[1])
-    texts = docs.filter(F.col(id_col).isNotNull()).join(F.broadcast(ids), id_col)
-    rows = texts.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(rank, F.lit(FOLDS)).alias("fold"), *(categories[c].cast("int").alias(c) for c in names), body(text_col).alias("t"))
-    rows = rows.dropna(subset=names)
-    kinds = "doc_id long, fold long, " + "".join(f"{c} int, " for c in names)
-    found = rows.mapInArrow(_features_of(["doc_id", "fold", *names]), kinds + "slots array<int>")
+    hidden = {c.lower() for c in values}
+    own_id, own_text = unused([*docs.columns, *values, *names], "_id", "_text")
+    texts = docs.filter(F.col(id_col).isNotNull()).withColumn(own_text, body(text_col)).withColumnRenamed(id_col, own_id)
+    texts = texts.drop(*(c for c in texts.columns if c.lower() in hidden))
+    texts = texts.join(F.broadcast(ids.withColumnRenamed(id_col, f"{own_id}l")), F.col(own_id) == F.col(f"{own_id}l"))
+    order = F.xxhash64(F.col(own_id).cast("long"), own_text)
+    rows = texts.select(F.col(own_id).cast("long").alias("doc_id"), order.alias("order"), F.pmod(F.xxhash64(F.col(own_id).cast("long")), F.lit(FOLDS)).alias("fold"), *(categories[c].cast("int").alias(f"y{k}") for k, c in enumerate(names)), F.col(own_text).alias("t"))
+    rows = rows.dropna(subset=[f"y{k}" for k in range(len(names))])
+    columns = ["doc_id", "order", "fold", *(f"y{k}" for k in range(len(names)))]
+    kinds = "doc_id long, order long, fold long, " + "".join(f"y{k} int, " for k in range(len(names)))
+    found = rows.mapInArrow(_features_of(columns), kinds + "slots array<int>")
+    found = found.dropDuplicates(["doc_id", "order"]).orderBy("order", "doc_id").limit(2 * sample)  # more than the sample only where ids repeat
     model = found.groupBy(F.lit(1).alias("one")).applyInArrow(_fit(names), "model binary").collect()
     if not model:
         none = Logistic(np.zeros(1 << BITS), np.empty(0), -40.0)
