@@ -11,6 +11,7 @@ repeat an id are scored row by row; with no documents the scorer keeps all; only
 
 from __future__ import annotations
 
+import math
 import operator
 import pickle
 import re
@@ -54,7 +55,7 @@ class Measures:
     def shape(word: str) -> str:
         """Letters as a or A, digits as 0, other characters as they are; runs once."""
         out = ""
-        for c in word[:24]:
+        for c in word:
             c = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
             if c != out[-1:]:
                 out += c
@@ -172,14 +173,14 @@ def _sampled(batches):
     for batch in batches:
         found = [_measures.of(t) for t in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([votes(m) for m, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.list_(pa.int64())), pa.array([v for _, _, v in found], pa.list_(pa.float64()))],
-            ["doc_id", "pattern", "slots", "vals"],
+            [batch.column("doc_id"), batch.column("order"), pa.array([votes(m) for m, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.list_(pa.int64())), pa.array([v for _, _, v in found], pa.list_(pa.float64()))],
+            ["doc_id", "order", "pattern", "slots", "vals"],
         )
 
 
 def _fit(labels: LabelModel):
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
         x = Sparse.of([np.array(s, np.int64) for s in table.column("slots").to_pylist()], [np.array(v) for v in table.column("vals").to_pylist()])
         scorer = fit(x, labels.posterior(np.array(table.column("pattern").to_pylist(), np.int64)), 1 << BITS, features=2048)
         return pa.table({"model": pa.array([pickle.dumps(scorer)], pa.binary())})
@@ -188,15 +189,16 @@ def _fit(labels: LabelModel):
 
 
 def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000, threshold: float = 0.5) -> QualityModel:
-    """Accuracies from the votes on all documents; the scorer from about ``sample`` of them, those of least id hash."""
+    """Accuracies from the votes on all documents; the scorer from at most ``sample`` of them, those of least hash of id and text; rows that repeat both count once."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("t"))
     counts = df.select("t").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns, n = (np.array([r[c] for r in counts], np.int64) for c in ("pattern", "n"))
     labels = estimate(patterns, n)
     total = int(n.sum()) if len(n) else 0
     part = min(1.0, sample / total) if total else 1.0
-    chosen = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(round(part * (1 << 30))))
-    rows = chosen.mapInArrow(_sampled, "doc_id long, pattern long, slots array<long>, vals array<double>")
+    chosen = df.withColumn("order", F.xxhash64("doc_id", "t")).filter(F.pmod("order", F.lit(1 << 30)) < F.lit(math.ceil(1.1 * part * (1 << 30))))
+    rows = chosen.mapInArrow(_sampled, "doc_id long, order long, pattern long, slots array<long>, vals array<double>")
+    rows = rows.dropDuplicates(["doc_id", "order"]).orderBy(F.pmod("order", F.lit(1 << 30)), "order", "doc_id").limit(sample)
     found = rows.groupBy(F.lit(1).alias("one")).applyInArrow(_fit(labels), "model binary").collect()
     scorer = pickle.loads(found[0]["model"]) if found else Logistic(np.zeros(1 << BITS), np.empty(0), 40.0)
     return QualityModel(labels, scorer, threshold)
