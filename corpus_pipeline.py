@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of documents. The quality classifier estimates its labellers and trains its scorer on the stage's own input.
 A null text passes as empty. Rows that repeat an id are judged row by row for quality; the dedup stages keep one row
-of each text or class.
+of each text or class, the longest of those that share the kept id and the kept text's normal form. Further columns of
+documents pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from landgrid.llm.exact_dedup import digest, exact_dedup
 from landgrid.llm.near_dedup import near_rows, with_words_key
 from landgrid.llm.packing import pack
 from landgrid.llm.quality_model import keep_quality, train_quality
-from landgrid.llm.shared import Scratch, discard, documents, key_bitmap, written
+from landgrid.llm.shared import Scratch, discard, documents, key_bitmap, unused, written
 from landgrid.llm.suffix_dedup import without_repeats
 from landgrid.session import ship
 
@@ -37,33 +38,39 @@ def _by_bitmap(bitmap: np.ndarray, bits: int, marked: bool):
     return rows
 
 
-def _rows_of(docs: DataFrame, report: DataFrame, keyed: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """The rows of docs that a report (doc_id, kept, keys) keeps; keyed gives docs the keys, which tell an id's texts apart.
+def _rows_of(docs: DataFrame, report: DataFrame, keyed: Callable[..., DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of docs that a report (doc_id, kept, keys) keeps; keyed gives docs the keys under names of its own, which tell an id's texts apart.
 
-    Rows whose id surely loses none pass where they are; only the others meet the report in a join.
+    Rows whose id surely loses none pass where they are; only the others meet the report in a join. What the report says
+    goes under names that docs has not.
     """
-    report = written(report.select("doc_id", "kept", *keys), "pipeline-report")
-    tally = report.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_kept"))
-    lossy = written(tally.filter("_kept < _rows or doc_id is null"), "pipeline-lossy")
-    bitmap, bits = key_bitmap(lossy.filter("doc_id is not null").select(F.col("doc_id").alias("key")))
+    own = unused(docs.columns, "_id", "_kept", "_rows", "_row", *(f"_{k}" for k in keys))
+    the_id, kept, n_rows, row, *names = own
+    report = report.select(F.col("doc_id").alias(the_id), F.col("kept").alias(kept), *(F.col(k).alias(n) for k, n in zip(keys, names)))
+    report = written(report, "pipeline-report")
+    tally = report.groupBy(the_id).agg(F.count("*").alias("n"), F.sum(F.col(kept).cast("int")).alias("n_kept"))
+    lossy = written(tally.filter(F.col("n_kept") < F.col("n")).select(the_id, "n_kept"), "pipeline-lossy")
+    bitmap, bits = key_bitmap(lossy.filter(F.col(the_id).isNotNull()).select(F.col(the_id).alias("key")))
     sure, doubtful = (docs.mapInArrow(_by_bitmap(bitmap, bits, marked), docs.schema) for marked in (False, True))
-    found = sure.unionByName(doubtful.filter("doc_id is not null").join(lossy.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
-    mixed = lossy.filter("_kept > 0").select("doc_id")
+    some = lossy.select(the_id)
+    unharmed = doubtful.join(some, doubtful["doc_id"].eqNullSafe(some[the_id]), "left_anti")
+    found = sure.unionByName(unharmed.select(*docs.columns))
+    mixed = lossy.filter("n_kept > 0").select(F.col(the_id).alias(row))
     if mixed.isEmpty():
         return found
-    kept = report.filter("kept").select("doc_id", *keys)
-    kept = kept.filter("doc_id is null").unionByName(kept.join(mixed, "doc_id", "left_semi"))
-    return found.unionByName(_of_repeated(keyed(doubtful), kept, keys, docs.columns))
+    wanted = report.filter(kept).select(the_id, *names).join(mixed, F.col(the_id).eqNullSafe(F.col(row)), "left_semi")
+    return found.unionByName(_of_repeated(keyed(doubtful, *names), wanted, the_id, names, row, docs.columns))
 
 
-def _of_repeated(docs: DataFrame, kept: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """For each kept (doc_id, keys) one row, the longest; map tasks fold an id's equal texts first."""
+def _of_repeated(docs: DataFrame, kept: DataFrame, the_id: str, keys: list[str], row: str, columns: list[str]) -> DataFrame:
+    """For each kept (id, keys) one row, the longest; map tasks fold an id's equal texts first."""
     first = F.min_by(F.struct(*columns), F.struct(-F.coalesce(F.length("text"), F.lit(-1)), "text"))
-    rows = docs.groupBy(F.col("doc_id").alias("_id"), *keys).agg(first.alias("_row"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id"))
+    kept = kept.select(F.col(the_id).alias(f"{the_id}k"), *(F.col(k).alias(f"{k}k") for k in keys))
+    rows = docs.groupBy(F.col("doc_id").alias(the_id), *keys).agg(first.alias(row))
+    same = F.col(the_id).eqNullSafe(F.col(f"{the_id}k"))
     for k in keys:
-        same &= rows[k] == kept[k]
-    return rows.join(kept, same, "left_semi").select("_row.*")
+        same &= F.col(k) == F.col(f"{k}k")
+    return rows.join(kept, same, "left_semi").select(f"{row}.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,12 +81,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text."""
-    return _rows_of(docs, exact_dedup(docs).withColumnRenamed("text_sha256", "_digest"), lambda d: d.withColumn("_digest", digest()), ["_digest"])
+    return _rows_of(docs, exact_dedup(docs), lambda d, name: d.withColumn(name, digest()), ["text_sha256"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return _rows_of(docs, near_rows(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), lambda d: with_words_key(d, "_k1", "_k2"), ["_k1", "_k2"])
+    return _rows_of(docs, near_rows(docs), with_words_key, ["k1", "k2"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,35 @@ def test_toxicity_odd(odd, none, spark):
         assert score_toxicity(none, chain).collect() == []
 
 
+def test_toxicity_columns_and_repeated_rows(spark):
+    """Columns of documents named like labels, labels that repeat an id, and a labelled document that comes many times."""
+    rows = [(i, ("awful nasty words " if i % 2 else "kind gentle words ") + prose(i, 10), 7, "x") for i in range(60)] + [(1, "awful nasty words", 7, "x")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, y0 string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, None)], "doc_id bigint, toxic int")
+    chain = train_toxicity(docs, labels, {"any": F.col("toxic"), "toxic": F.col("toxic")}, "toxic", sample=40)
+    found = score_toxicity(docs, chain).collect()
+    assert len(found) == len(rows) and all(r.flagged == bool(r.doc_id % 2) for r in found)
+
+
+def test_chain_by_hand():
+    """The chain against the same steps written out: folds, earlier probabilities, later models."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 200, 12)) for _ in range(300)]
+    labels = np.column_stack([[int(3 in r or 4 in r or 5 in r) for r in rows], [int(3 in r or 9 in r or 10 in r) for r in rows]])
+    folds = np.arange(300) % 3
+    x = Sparse.of(rows)
+    chain = fit_chain(x, labels, ["a", "b"], folds)
+    logit = lambda p: (np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))) / 4)[:, None]
+    held = np.empty(300)
+    for f in range(3):
+        rest, own = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+        held[own] = fit(Sparse.of([rows[i] for i in rest]), labels[rest, 0].astype(float), 1 << 18).score(Sparse.of([rows[i] for i in own]))
+    first = fit(x, labels[:, 0].astype(float), 1 << 18)
+    second = fit(x, labels[:, 1].astype(float), 1 << 18, logit(held))
+    p = chain.predict(x)
+    assert np.allclose(p[:, 0], first.score(x)) and np.allclose(p[:, 1], second.score(x, logit(first.score(x))))
+
+
 def test_votes_estimate_accuracies():
     rng = np.random.default_rng(2)
     k = len(LABELLERS)
@@ -77,6 +106,31 @@ def test_votes_estimate_accuracies():
     assert model.posterior(np.array([3**k - 1]))[0] == pytest.approx(1 - model.prior)
 
 
+def test_estimation_by_brute_force():
+    """Expectation-maximisation text by text gives what it gives on counts of patterns."""
+    from landgrid.llm.quality_model import START
+
+    rng = np.random.default_rng(5)
+    k = len(LABELLERS)
+    vote = rng.choice([GOOD, POOR, NONE], (500, k), p=[0.7, 0.2, 0.1])
+    seen, counts = np.unique((vote * 3 ** np.arange(k)).sum(axis=1), return_counts=True)
+    model = estimate(seen, counts, rounds=6)
+    prior, rates, weight = 0.2, np.tile(START, (k, 1, 1)), 0.01 * 500
+    for _ in range(6):
+        good = np.array([1 / (1 + prior / (1 - prior) * np.prod([rates[i][1][v] / rates[i][0][v] for i, v in enumerate(row)])) if (row != NONE).any() else 1 - prior for row in vote])
+        rates = np.array([[[p[vote[:, i] == v].sum() + weight * START[c][v] for v in range(3)] for c, p in enumerate((good, 1 - good))] for i in range(k)])
+        rates /= rates.sum(axis=2, keepdims=True)
+        prior = ((1 - good).sum() + 0.2 * weight) / (500 + weight)
+    assert model.prior == pytest.approx(prior) and np.allclose(model.rates, rates)
+
+
+def test_sample_is_bounded(spark):
+    """A third of all rows under a null id, and a row that repeats: at most sample rows train, equal ones once."""
+    rows = [(None, prose(i, 12)) for i in range(40)] + [(5, prose(7, 12))] * 40 + [(i, prose(100 + i, 12)) for i in range(40)]
+    model = train_quality(spark.createDataFrame(rows, "doc_id bigint, text string"), sample=20)
+    assert 0 <= model.labels.prior <= 1
+
+
 def test_quality_against_labels(spark, labels):
     found = {r.doc_id: r.kept for r in queries.op4_quality_model(spark, LARGER).collect()}
     good = [found[r["doc_id"]] for r in labels if r["quality"]]
