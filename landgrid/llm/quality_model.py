@@ -2,7 +2,8 @@
 
 Each labeller votes good, poor or nothing on a text. The votes of all documents are counted by pattern (at most three
 to the power of the labellers, whatever the input), and expectation-maximisation over those counts estimates how often
-each labeller gives each vote on good and on poor texts. The posterior of a text's pattern is its label; posterior
+each labeller gives each vote on good texts and on each kind of poor ones: poor texts are noise or repeat themselves, and
+labellers of one kind say little of the other. The posterior of a text's pattern, over all kinds, is its label; posterior
 labels of a bounded sample train a linear scorer over hashed word shapes, which then scores every document.
 
 Defined cases: null and empty texts have no words, on which no labeller votes; their posterior is the prior; rows that
@@ -29,6 +30,8 @@ from landgrid.llm.shared import body, hold
 BITS = 16
 GOOD, POOR, NONE = 0, 1, 2
 
+BLOCK = 200  # words whose repeats count together, as long texts repeat more of their words anyway
+
 #: Labellers: a measure, its value from which a text is poor, and the value up to which it is good.
 #: "unusual" and "marks" overlap with all but the last three, "repeated" and "stuttered" with several.
 LABELLERS = (
@@ -39,9 +42,11 @@ LABELLERS = (
     ("bars", 0.1, 0.02),
     ("exclaimed", 0.1, 0.03),
     ("stuttered", 0.06, 0.04),
-    ("repeated", 0.6, 0.5),
+    ("repeated", 0.9, 0.6),
     ("same_lines", 0.3, 0.1),
 )
+#: Kinds of poor texts, by the labellers that see them: noise, and text that repeats itself.
+KINDS = (("unusual", "marks", "symbols", "shouted", "bars", "exclaimed"), ("stuttered", "repeated", "same_lines"))
 
 
 class Measures:
@@ -90,7 +95,7 @@ class Measures:
             "bars": text.count("|") / n,
             "exclaimed": text.count("!!") / n,
             "stuttered": sum(map(operator.eq, words, islice(words, 1, None))) / n,
-            "repeated": 1 - len(set(words)) / n,
+            "repeated": 1 - sum(len(set(words[i : i + BLOCK])) for i in range(0, n, BLOCK)) / n,
             "same_lines": 1 - len(set(lines)) / len(lines),
         }
         seen, counts = np.unique(shapes >> 2, return_counts=True)
@@ -116,40 +121,60 @@ def votes(found: dict[str, float]) -> int:
 
 @dataclass
 class LabelModel:
-    prior: float  # share of poor texts
-    rates: np.ndarray  # labeller x class (good, poor) x vote
-
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability that a text of each pattern is good. A text without a vote has the prior."""
-        log = np.log(np.array([1 - self.prior, self.prior]))[None, :].repeat(len(patterns), axis=0)
-        rest = np.asarray(patterns, np.int64).copy()
+    shares: np.ndarray  # of good texts and of each kind of poor ones
+    by_kind: np.ndarray  # labeller x kind (good first) x vote: how often the vote is given
+
+    @property
+    def prior(self) -> float:
+        """Share of poor texts."""
+        return float(1 - self.shares[0])
+
+    @property
+    def rates(self) -> np.ndarray:
+        """labeller x class (good, poor) x vote."""
+        poor = np.einsum("lkv,k->lv", self.by_kind[:, 1:], self.shares[1:] / max(self.shares[1:].sum(), 1e-12))
+        return np.stack([self.by_kind[:, 0], poor], axis=1)
+
+    def kinds(self, patterns: np.ndarray) -> np.ndarray:
+        """Probabilities of the kinds for each pattern. A text without a vote has their shares."""
+        rest, log = np.asarray(patterns, np.int64).copy(), np.tile(np.log(self.shares), (len(patterns), 1))
         silent = np.ones(len(rest), bool)
-        for k in range(len(self.rates)):
+        for rates in self.by_kind:
             vote, rest = rest % 3, rest // 3
             silent &= vote == NONE
-            log += np.log(self.rates[k][:, vote]).T
-        log[silent] = np.log([1 - self.prior, self.prior])
-        return 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -500, 500)))
+            log += np.log(rates[:, vote]).T
+        log[silent] = np.log(self.shares)
+        odds = np.exp(log - log.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability that a text of each pattern is good."""
+        return self.kinds(patterns)[:, 0]
+
+
+#: Where estimation starts, and what it is drawn to: good, poor and no vote on texts that a labeller doesn't mind, and on its own kind.
+QUIET, OWN = np.array([0.975, 0.005, 0.02]), np.array([0.5, 0.45, 0.05])
+POOR_SHARE = 0.2
 
 
-#: Where estimation starts, and what it is drawn to: a labeller sees one kind of poor text, and seldom blames a good one.
-START = np.array([[0.975, 0.005, 0.02], [0.85, 0.12, 0.03]])
+def start() -> LabelModel:
+    by_kind = np.tile(QUIET, (len(LABELLERS), 1 + len(KINDS), 1))
+    for kind, names in enumerate(KINDS, 1):
+        by_kind[[i for i, labeller in enumerate(LABELLERS) if labeller[0] in names], kind] = OWN
+    return LabelModel(np.array([1 - POOR_SHARE, *[POOR_SHARE / len(KINDS)] * len(KINDS)]), by_kind)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, pull: float = 0.01) -> LabelModel:
-    """Expectation-maximisation over pattern counts. START counts as ``pull`` of the texts, so that a labeller that fires alone isn't read as noise."""
-    k = len(LABELLERS)
-    model = LabelModel(0.2, np.tile(START, (k, 1, 1)))
+    """Expectation-maximisation over pattern counts. The start counts as ``pull`` of the texts, so that a labeller that fires alone isn't read as noise."""
+    first = model = start()
     if not len(patterns):
         return model
-    vote = np.stack([np.asarray(patterns, np.int64) // 3**i % 3 for i in range(k)])
+    vote = [np.asarray(patterns, np.int64) // 3**i % 3 for i in range(len(LABELLERS))]
     weight = pull * counts.sum()
     for _ in range(rounds):
-        good = model.posterior(patterns)
-        mass = np.stack([counts * good, counts * (1 - good)])
-        rates = np.stack([np.stack([np.bincount(vote[i], mass[c], minlength=3) + weight * START[c] for c in (0, 1)]) for i in range(k)])
-        total = mass.sum(axis=1)
-        model = LabelModel(float((total[1] + 0.2 * weight) / (total.sum() + weight)), rates / rates.sum(axis=2, keepdims=True))
+        mass = counts[:, None] * model.kinds(patterns)
+        rates = np.stack([np.stack([np.bincount(v, mass[:, c], minlength=3) for c in range(mass.shape[1])]) for v in vote]) + weight * first.by_kind
+        model = LabelModel((mass.sum(axis=0) + weight * first.shares) / (mass.sum() + weight), rates / rates.sum(axis=2, keepdims=True))
     return model
 
 

@@ -108,20 +108,39 @@ def test_votes_estimate_accuracies():
 
 def test_estimation_by_brute_force():
     """Expectation-maximisation text by text gives what it gives on counts of patterns."""
-    from landgrid.llm.quality_model import START
+    from landgrid.llm.quality_model import KINDS, OWN, QUIET
 
     rng = np.random.default_rng(5)
     k = len(LABELLERS)
     vote = rng.choice([GOOD, POOR, NONE], (500, k), p=[0.7, 0.2, 0.1])
     seen, counts = np.unique((vote * 3 ** np.arange(k)).sum(axis=1), return_counts=True)
     model = estimate(seen, counts, rounds=6)
-    prior, rates, weight = 0.2, np.tile(START, (k, 1, 1)), 0.01 * 500
+    begin = np.array([[QUIET] + [OWN if name in kind else QUIET for kind in KINDS] for name, _, _ in LABELLERS])
+    shares, rates, weight = np.array([0.8] + [0.2 / len(KINDS)] * len(KINDS)), begin, 0.01 * 500
+    first = shares
     for _ in range(6):
-        good = np.array([1 / (1 + prior / (1 - prior) * np.prod([rates[i][1][v] / rates[i][0][v] for i, v in enumerate(row)])) if (row != NONE).any() else 1 - prior for row in vote])
-        rates = np.array([[[p[vote[:, i] == v].sum() + weight * START[c][v] for v in range(3)] for c, p in enumerate((good, 1 - good))] for i in range(k)])
+        p = []
+        for row in vote:
+            odds = shares * [np.prod([rates[i][c][v] for i, v in enumerate(row)]) for c in range(len(shares))]
+            p.append(odds / odds.sum() if (row != NONE).any() else shares)
+        p = np.array(p)
+        rates = np.array([[[p[vote[:, i] == v, c].sum() + weight * begin[i][c][v] for v in range(3)] for c in range(len(shares))] for i in range(k)])
         rates /= rates.sum(axis=2, keepdims=True)
-        prior = ((1 - good).sum() + 0.2 * weight) / (500 + weight)
-    assert model.prior == pytest.approx(prior) and np.allclose(model.rates, rates)
+        shares = (p.sum(axis=0) + weight * first) / (500 + weight)
+    assert np.allclose(model.shares, shares) and np.allclose(model.by_kind, rates) and model.prior == pytest.approx(1 - shares[0])
+
+
+def test_kinds_of_poor_texts_are_told_apart():
+    """Few texts that only the labellers of repeats blame, among many that those of noise blame, are poor as well."""
+    rng = np.random.default_rng(7)
+    names = [name for name, _, _ in LABELLERS]
+    vote = np.full((5000, len(names)), GOOD)
+    vote[:600, names.index("unusual")] = vote[:600, names.index("marks")] = POOR
+    vote[600:800, names.index("stuttered")] = vote[600:800, names.index("repeated")] = POOR
+    vote[rng.random(vote.shape) < 0.003] = POOR
+    patterns = (vote * 3 ** np.arange(len(names))).sum(axis=1)
+    good = estimate(*np.unique(patterns, return_counts=True)).posterior(patterns) > 0.5
+    assert not good[:800].any() and good[800:].mean() > 0.95
 
 
 def test_sample_is_bounded(spark):
@@ -138,6 +157,13 @@ def test_quality_against_labels(spark, labels):
     assert np.mean(good) > 0.98 and np.mean(poor) < 0.1  # labels are held out: the model never sees them
 
 
+def test_long_texts_may_repeat_their_words():
+    from landgrid.llm.quality_model import Measures
+
+    text = " ".join(prose(i, 60) for i in range(60))
+    assert Measures().of(text)[0]["repeated"] < 0.2 < 0.8 < Measures().of("again and again " * 200)[0]["repeated"]
+
+
 def test_quality_odd(odd, none):
     model = train_quality(odd)
     assert score_quality(odd, model).count() == len(ODD)
