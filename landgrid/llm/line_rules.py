@@ -55,15 +55,15 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 30, host_share: float = 0.2, lost_share: float = 0.7, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 30, host_share: float = 0.2, most_docs: int = 1000, lost_share: float = 0.7, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """One row for each document: doc_id, base counts, base_failed, kept, n_removed_words.
 
-    A line is removed where more than max(``min_docs``, ``host_share`` of the host's documents) hold it; a
-    document is depleted where at least ``lost_share`` of its words are in removed lines.
+    A line is removed where more documents hold it than ``host_share`` of the host's or ``most_docs`` if that is less,
+    and more than ``min_docs``; a document is depleted where at least ``lost_share`` of its words are in removed lines.
     """
     rows = written(document_measures(docs, id_col, text_col, host_col), "line-rules")
     # map tasks count before the shuffle, so that a line or a host with a third of all rows is a row for each task
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.lit(host_share) * F.count("*")).alias("most"))
+    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.least(F.lit(host_share) * F.count("*"), F.lit(float(most_docs)))).alias("most"))
     held = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     held = held.groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
     common = held.join(limits, "host").filter("n_docs > most").select("host", "h")

@@ -92,7 +92,7 @@ ORACLE_SQL = {
                         len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
                  FROM d, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM held GROUP BY row),
-        most AS (SELECT host, greatest(30, 0.2 * count(*)) AS m FROM d GROUP BY host),
+        most AS (SELECT host, greatest(30, least(0.2 * count(*), 1000)) AS m FROM d GROUP BY host),
         common AS (SELECT host, tidy FROM held JOIN most USING (host) GROUP BY host, tidy, m HAVING count(DISTINCT row) > m),
         lost AS (SELECT row, sum(n) AS n FROM held SEMI JOIN common USING (host, tidy) GROUP BY row),
         m AS (SELECT d.row, doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

@@ -174,7 +174,7 @@ def test_quality_odd(odd, none):
 # line rules
 
 
-def brute_rules(rows, min_docs, share, lost):
+def brute_rules(rows, min_docs, share, lost, most=1000):
     import re
 
     words_of = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
@@ -193,7 +193,7 @@ def brute_rules(rows, min_docs, share, lost):
         count = collections.Counter(runs)
         repeat = len({i + k for i, r in enumerate(runs) if count[r] > 1 for k in range(8)})
         lines = [x for x in t.split("\n") if words_of(x)]
-        gone = sum(len(words_of(x)) for x in lines if len(held[h, tidy(x)]) > max(min_docs, share * hosts[h]))
+        gone = sum(len(words_of(x)) for x in lines if len(held[h, tidy(x)]) > max(min_docs, min(share * hosts[h], most)))
         failed = len(words) < 20 or 100 * repeat > 30 * len(words)
         out.append((d, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeat, failed, not failed and gone < lost * len(words), gone))
     return sorted(out, key=repr)
@@ -206,6 +206,8 @@ def test_line_rules(spark, odd, none):
     docs = spark.createDataFrame([(d, t, h, 1) for d, t, h in rows], "doc_id bigint, text string, source string, words int").repartition(3)
     found = line_rules(docs, min_docs=3, host_share=0.1)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_rules(rows, 3, 0.1, 0.7)
+    bounded = line_rules(docs, min_docs=3, host_share=0.9, most_docs=5)
+    assert sorted((tuple(r) for r in bounded.collect()), key=repr) == brute_rules(rows, 3, 0.9, 0.7, 5)
     verdict = {r.doc_id: r.kept for r in found.collect()}
     assert verdict[100] and not verdict[200] and not verdict[300] and verdict[400]
     assert line_rules(none).collect() == [] and line_rules(odd).count() == len(ODD)
