@@ -92,9 +92,11 @@ def page(features: DataFrame, start: int = 1, length: int = 10, order: str = "ro
 def batches(keys: DataFrame, size: int, order: str = "rowkey") -> DataFrame:
     """The keys with the number of their batch of ``size`` in key order.
 
-    Numbers come from each range partition's count and the rows before it, so that no task sorts all rows.
+    Numbers come from each range partition's count and the rows before it, so that no task sorts all rows. The number
+    of partitions is given, as adaptive execution may join partitions of an open number, and not alike in both branches.
     """
-    parts = keys.select(order).distinct().repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = keys.select(order).distinct().repartitionByRange(n, order).withColumn("part", F.spark_partition_id())
     counts = parts.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     numbered = parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(order))).join(F.broadcast(before), "part")

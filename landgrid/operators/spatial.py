@@ -68,11 +68,6 @@ def overlap_join(left: DataFrame, right: DataFrame, size: int = 500) -> DataFram
     return pairs.withColumn("overlap", overlap_area()).drop("cell_row", "cell_col")
 
 
-def overlap_join_brute(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The same pairs by testing all; small inputs only, as a reference."""
-    return left.join(right, F.expr("x0 < u1 and u0 < x1 and y0 < v1 and v0 < y1")).withColumn("overlap", overlap_area())
-
-
 def overlap_area() -> Column:
     return box_overlap(*map(F.col, ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")))
 

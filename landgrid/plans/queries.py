@@ -16,6 +16,8 @@ from landgrid.operators import features as feats
 from landgrid.operators import jobs, keyword, overlay, raster, spatial, stats
 from landgrid.plans import synth
 from landgrid.sources import json as feature_json
+from landgrid.sources import sinks
+from landgrid.sources.store import stored_once
 from landgrid.streaming import stats as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,12 +321,18 @@ def projection_zone(spark, d):
 
 # spatial index and queries
 
+
+def _by_cell(spark, d) -> DataFrame:
+    """The layer with its zvalue, as a table in that order: the index that key ranges prune."""
+    return stored_once(spark, d, "layer-by-cell", lambda path: sinks.write_by_cell(spatial.with_index(synth.degrees(_layer(spark, d))), path))
+
+
 _IN = f"x0 <= {X1} AND x1 >= {X0} AND y0 <= {Y1} AND y1 >= {Y0}"
 
 
 @query(f"WITH {L1} SELECT rowkey, category, area FROM l1 WHERE {_IN}")
 def spatial_query_rect(spark, d):
-    return spatial.box_query(spatial.with_index(synth.degrees(_layer(spark, d))), AREA).select("rowkey", "category", "area")
+    return spatial.box_query(_by_cell(spark, d), AREA).select("rowkey", "category", "area")
 
 
 @query(f"WITH {L1} SELECT rowkey, level, cat2 FROM (SELECT rowkey, lvl AS level, substr(category, 1, 2) AS cat2 FROM l1 JOIN (WITH s AS ({_SINGLE}) {_BEST}) USING (k))")
@@ -343,7 +351,7 @@ def spatial_stats_rect(spark, d):
 @query(f"""WITH {L1}, s AS ({_SINGLE}), i AS (SELECT l1.*, b.lvl, b.row, b.col FROM l1 JOIN ({_BEST}) AS b USING (k)) SELECT rowkey, caption FROM i
     WHERE x0 <= 1165333.5571289062 AND x1 >= 1165333.5571289062 AND y0 <= 399421.69189453125 AND y1 >= 399421.69189453125 ORDER BY lvl DESC, rowkey LIMIT 1""")
 def point_query(spark, d):
-    return spatial.point_query(spatial.with_index(synth.degrees(_layer(spark, d))), *POINT).select("rowkey", "caption")
+    return spatial.point_query(_by_cell(spark, d), *POINT).select("rowkey", "caption")
 
 
 _PAIRS = """SELECT l1.category AS category1, l2.category AS category2, l1.rowkey AS key1, l2.rowkey AS key2, l2.region12 AS region,
@@ -471,7 +479,8 @@ _HITS = f"""SELECT rowkey, count(*) AS n_terms, sum(tf * i * i / sqrt(n_words::d
 
 def _hits(spark, d, terms, every) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("rowkey"), "text")
-    return keyword.search(keyword.build_keyword_index(docs, "text"), docs.count(), terms, every)
+    index = stored_once(spark, d, "words-by-term", lambda path: sinks.write_words(keyword.build_keyword_index(docs, "text"), path))
+    return keyword.search(index, docs.count(), terms, every)
 
 
 @query(f"WITH {_WORDS} SELECT rowkey, round(score, 6) AS score FROM ({_HITS.replace(str(tuple(_TERMS)), str(tuple(_TERMS[::3])))}) WHERE n_terms = 2")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.functions import st
 from landgrid.functions.sheets import Scale, sheet_envelope, sheet_zone, sheets_in_range
+from landgrid.kernel import codecs
 from landgrid.operators.overlay import grid_pieces
+from landgrid.sources.shapefile import build_dbf, build_shp
 
 
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,10 +69,58 @@ def zip_folder(folder: str, archive: str) -> int:
 
 
 def result_json(result: DataFrame | dict[str, str], at_most: int = 100_000) -> str:
-    """A task's result as JSON text: rows as a list of objects, or paths as an object."""
+    """A task's result as JSON text: rows as a list of objects, or paths as an object.
+
+    More than ``at_most`` rows are an error: they belong in files, whose paths are then the result.
+    """
     if isinstance(result, dict):
         return json.dumps(result)
-    return "[" + ",".join(result.limit(at_most).toJSON().collect()) + "]"
+    rows = result.limit(at_most + 1).toJSON().collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} rows; write them to files and give their paths")
+    return "[" + ",".join(rows) + "]"
+
+
+def write_by_cell(indexed: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Features with their zvalue in its order, so that key ranges prune files and row groups."""
+    indexed.repartitionByRange("zvalue", "rowkey").sortWithinPartitions("zvalue", "rowkey").write.mode(mode).parquet(path)
+
+
+def write_words(words: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A keyword index in the order of its terms, so that a query reads its terms' row groups; a frequent term goes to several tasks."""
+    words.repartitionByRange("term", "rowkey").sortWithinPartitions("term").write.mode(mode).parquet(path)
+
+
+def _write_shapes(folder: str, attributes: list[str]):
+    def rows(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        shapes, values = [], []
+        for batch in batches:
+            shapes += [codecs.from_wkb(g) for g in batch.column("geom").to_pylist()]
+            values += batch.select(attributes).to_pylist()
+        if not shapes:
+            return
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+        layer = f"part-{TaskContext.get().partitionId():06d}"
+        for kind, content in (("shp", build_shp(shapes)), ("dbf", build_dbf(values, attributes))):
+            # an attempt writes under a name of its own, and the last move stays
+            own = f"{place}/_{layer}-{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as out:
+                out.write(content)
+            store.move(own, f"{place}/{layer}.{kind}")
+        yield pa.RecordBatch.from_arrays([pa.array([layer]), pa.array([len(shapes)], pa.int64())], ["layer", "n"])
+
+    return rows
+
+
+def write_shapefiles(features: DataFrame, folder: str, attributes: list[str], rows_per_file: int = 50_000) -> DataFrame:
+    """A shape file and its attributes for each task, of about so many features; returns layer and n by file."""
+    texts = features.select(*(F.col(a).cast("string").alias(a) for a in attributes), "geom")
+    parts = max(1, -(-features.count() // rows_per_file))
+    return texts.repartition(parts, *attributes).mapInArrow(_write_shapes(folder, attributes), "layer string, n long")
 
 
 def save_result(spark: SparkSession, url: str, table: str, task: str, result: str, properties: dict[str, str]) -> None:

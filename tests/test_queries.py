@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from landgrid.plans import queries
@@ -46,7 +47,8 @@ def test_join_finds_what_testing_all_finds(spark, data):
     a = synth.layer(spark, data, 1).select("rowkey", "x0", "y0", "x1", "y1")
     b = jobs.other(synth.layer(spark, data, 2), rowkey="other")
     key = ["rowkey", "other", "overlap"]
-    found, wanted = ({tuple(r) for r in f(a, b).select(*key).collect()} for f in (spatial.overlap_join, spatial.overlap_join_brute))
+    by_all = lambda left, right: left.join(right, F.expr("x0 < u1 and u0 < x1 and y0 < v1 and v0 < y1")).withColumn("overlap", spatial.overlap_area())
+    found, wanted = ({tuple(r) for r in f(a, b).select(*key).collect()} for f in (spatial.overlap_join, by_all))
     assert found == wanted and len(found) == 20 and sum(r[2] for r in found) == 511282
 
 
