@@ -6,8 +6,6 @@ import atexit
 import ctypes
 import gc
 import math
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.session import ship
+from landgrid.sources.store import shared_folder
 
 SPACE = r"[\x20\x09-\x0D]+"
 M_MMAP_THRESHOLD = -3  # of mallopt
@@ -59,20 +58,6 @@ class Scratch:
 _scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset and one machine does all (tests), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = given.get() if given.isDefined() else None
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="landgrid-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
