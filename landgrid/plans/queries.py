@@ -590,7 +590,15 @@ def st_relations(spark, d):
     )
 
 
-@query()
+_WITHIN, _AROUND_IT = "l1.x0 >= l2.x0 AND l1.x1 <= l2.x1 AND l1.y0 >= l2.y0 AND l1.y1 <= l2.y1", "l2.x0 >= l1.x0 AND l2.x1 <= l1.x1 AND l2.y0 >= l1.y0 AND l2.y1 <= l1.y1"
+_STRICT = "(l1.x0 > l2.x0 AND l1.x1 < l2.x1 AND l1.y0 > l2.y0 AND l1.y1 < l2.y1) OR (l2.x0 > l1.x0 AND l2.x1 < l1.x1 AND l2.y0 > l1.y0 AND l2.y1 < l1.y1)"
+
+
+@query(f"""WITH {L1}, {L2}, m AS (SELECT l1.rowkey, l2.rowkey AS other, ({_WITHIN}) AS held, ({_AROUND_IT}) AS holds,
+        CASE WHEN l1.x0 = l2.x0 OR l1.x1 = l2.x1 OR l1.y0 = l2.y0 OR l1.y1 = l2.y1 THEN '1' WHEN {_STRICT} THEN 'F' ELSE '0' END AS rims
+        FROM l1 JOIN l2 ON l1.x0 < l2.x1 AND l2.x0 < l1.x1 AND l1.y0 < l2.y1 AND l2.y0 < l1.y1)
+    SELECT rowkey, other, '2' || CASE WHEN held THEN 'FF' ELSE '12' END || CASE WHEN holds THEN 'F' ELSE '1' END || rims || CASE WHEN held THEN 'F' ELSE '1' END
+        || CASE WHEN holds THEN 'FF' ELSE '21' END || '2' AS matrix, holds, false AS crosses FROM m""")
 def st_relate(spark, d):
     return _met(spark, d).select("rowkey", "other", st.st_relate_matrix("geom", "geom2").alias("matrix"), st.st_relate("geom", "geom2", "T*****FF*").alias("holds"), st.st_crosses("geom", "geom2").alias("crosses"))
 
@@ -637,36 +645,93 @@ def st_tiles(spark, d):
     return tiles.groupBy("rowkey").agg(F.sum(st.st_area("t")).cast("bigint").alias("area"), F.count("*").alias("tiles"))
 
 
-@query()
+_REACHED = """near AS (SELECT a.category, a.rowkey AS a, b.rowkey AS b FROM l1 AS a JOIN l1 AS b ON a.category = b.category AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1
+        AND (least(a.x1, b.x1) > greatest(a.x0, b.x0) OR least(a.y1, b.y1) > greatest(a.y0, b.y0))),
+    reach(category, a, b) AS (SELECT category, a, b FROM near UNION SELECT n.category, r.a, n.b FROM reach AS r JOIN near AS n ON n.category = r.category AND n.a = r.b)"""
+_STRIPS = """xs AS (SELECT category, x, lead(x) OVER (PARTITION BY category ORDER BY x) AS nx FROM (SELECT DISTINCT category, unnest([x0, x1]) AS x FROM l1)),
+    held AS (SELECT xs.category, xs.x, xs.nx, l1.y0, l1.y1 FROM xs JOIN l1 ON l1.category = xs.category AND l1.x0 <= xs.x AND l1.x1 >= xs.nx),
+    runs AS (SELECT *, max(y1) OVER (PARTITION BY category, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM held),
+    areas AS (SELECT category, cast(sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(upto, y0)))) AS bigint) AS area FROM runs GROUP BY category)"""
+
+
+@query(f"""WITH RECURSIVE {L1}, {_REACHED}, {_STRIPS}
+    SELECT category, area, cast(parts AS int) AS parts FROM areas JOIN (SELECT category, count(DISTINCT least_of) AS parts FROM (SELECT category, a, min(b) AS least_of FROM reach GROUP BY category, a) GROUP BY category) USING (category)""")
 def st_union_agg(spark, d):
     found = st.dissolve(_whole(spark, d), ["category"])
     return found.select("category", F.round(st.st_area("geom")).cast("bigint").alias("area"), st.st_num_geometries("geom").alias("parts"))
 
 
-@query()
+@query(f"""WITH {L1}, p AS (SELECT DISTINCT category, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y FROM l1),
+    wide AS (SELECT category, min(x) AS xa, max(x) AS xb FROM p GROUP BY category),
+    low AS (SELECT p.category, p.x, min(y) AS lo, max(y) AS hi FROM p GROUP BY p.category, p.x),
+    sides AS (SELECT a.category, a.x AS ax, a.lo AS al, a.hi AS ah, b.x AS bx, b.lo AS bl, b.hi AS bh FROM low AS a JOIN low AS b ON a.category = b.category AND a.x < b.x),
+    under AS (SELECT ax, al, bx, bl, s.category FROM sides AS s WHERE NOT EXISTS (SELECT 1 FROM low AS r WHERE r.category = s.category AND ((bx - ax) * (r.lo - al) - (bl - al) * (r.x - ax) < 0
+        OR ((bx - ax) * (r.lo - al) = (bl - al) * (r.x - ax) AND (r.x < ax OR r.x > bx))))),
+    over AS (SELECT ax, ah, bx, bh, s.category FROM sides AS s WHERE NOT EXISTS (SELECT 1 FROM low AS r WHERE r.category = s.category AND ((bx - ax) * (r.hi - ah) - (bh - ah) * (r.x - ax) > 0
+        OR ((bx - ax) * (r.hi - ah) = (bh - ah) * (r.x - ax) AND (r.x < ax OR r.x > bx)))))
+    SELECT category, cast(round((t - u) / 2.0) AS bigint) AS area, true AS convex FROM (SELECT category, sum((bx - ax) * (ah + bh)) AS t FROM over GROUP BY category) JOIN (SELECT category, sum((bx - ax) * (al + bl)) AS u FROM under GROUP BY category) USING (category)""")
 def st_convex_hull(spark, d):
     found = st.hulls(_whole(spark, d), ["category"])
     return found.select("category", F.round(st.st_area("geom")).cast("bigint").alias("area"), st.st_is_convex("geom").alias("convex"))
 
 
-@query()
+@query(f"WITH {L1} SELECT rowkey, round(length + 3840 * sin(pi() / 96), 3) AS round, round(length + 80 * sqrt(2.0), 3) AS bevel, round(length + 160.0::double, 3) AS miter, round(length + 320 * tan(pi() / 8), 3) AS square FROM l1")
 def st_offset_curve(spark, d):
     rim = _whole(spark, d).withColumn("rim", st.st_boundary("geom"))
     return rim.select("rowkey", *(F.round(st.st_length(st.st_offset_curve("rim", F.lit(20.0), join)), 3).alias(join) for join in ("round", "bevel", "miter", "square")))
 
 
-@query()
+def _geodesic_sql(rows: str, rounds: int = 8) -> str:
+    """Metres on WGS84 between (a, b) and (c, e) in degrees, by so many inverse iterations."""
+    f = "(1 / 298.257223563::double)"
+    steps = f"SELECT *, radians(c - a) AS total, radians(c - a) AS lam, atan((1 - {f}) * tan(radians(b))) AS u, atan((1 - {f}) * tan(radians(e))) AS v FROM ({rows})"
+    for _ in range(rounds):
+        steps = f"SELECT *, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) AS sn, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) AS cs FROM ({steps})"
+        steps = f"SELECT *, atan2(sn, cs) AS s, cos(u) * cos(v) * sin(lam) / sn AS sa FROM ({steps})"
+        steps = f"SELECT *, 1 - sa * sa AS c2, cs - 2 * sin(u) * sin(v) / (1 - sa * sa) AS mid FROM ({steps})"
+        steps = f"SELECT *, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS cc FROM ({steps})"
+        keep = "k, a, b, c, e, total, u, v, sn, cs, s, c2, mid"
+        steps = f"SELECT {keep}, total + (1 - cc) * {f} * sa * (s + cc * sn * (mid + cc * cs * (2 * mid * mid - 1))) AS lam FROM ({steps})"
+        last, steps = steps, f"SELECT k, a, b, c, e, total, u, v, lam FROM ({steps})"
+    minor = f"(6378137.0::double * (1 - {f}))"
+    last = f"SELECT *, c2 * (pow(6378137.0::double, 2) - pow({minor}, 2)) / pow({minor}, 2) AS q FROM ({last})"
+    last = f"SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS p, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS w FROM ({last})"
+    return f"SELECT k, {minor} * p * (s - w * sn * (mid + w / 4 * (cs * (2 * mid * mid - 1) - w / 6 * mid * (4 * sn * sn - 3) * (4 * mid * mid - 3)))) AS metres FROM ({last})"
+
+
+@query(f"WITH {L1} SELECT k, round(metres, 3) AS metres FROM ({_geodesic_sql('SELECT k, x0 / 10000.0::double AS a, y0 / 10000.0::double AS b, x1 / 10000.0::double AS c, y1 / 10000.0::double AS e FROM l1')})")
 def geodesic_distance(spark, d):
     layer = synth.degrees(_layer(spark, d))
     return layer.select("k", F.round(st.st_geodesic_distance("xmin", "ymin", "xmax", "ymax"), 3).alias("metres"))
 
 
-@query()
+def _near_sql(l1: str, b1: str, l2: str, b2: str) -> str:
+    """The mid-latitude formula between points in radians."""
+    mid, dl, db = f"(({b1} + {b2}) / 2)", f"({l2} - {l1})", f"({b2} - {b1})"
+    major, minor = f"{measure.MAJOR!r}::double", f"{measure.MINOR!r}::double"
+    eta, t = f"(({major} * {major} - {minor} * {minor}) / ({minor} * {minor}) * pow(cos({mid}), 2))", f"pow(tan({mid}), 2)"
+    n = f"({major} * {major} / {minor} / sqrt(1 + {eta}))"
+    east = f"({n} * cos({mid}) * {dl} + {n} * cos({mid}) * (1 + {eta} - 9 * {eta} * {t}) / (24 * pow(1 + {eta}, 2)) * {dl} * pow({db}, 2) - {n} * pow(cos({mid}), 3) * {t} / 24 * pow({dl}, 3))"
+    north = f"({n} / (1 + {eta}) * {db} - {n} * pow(cos({mid}), 2) * (2 + 3 * {t} + 3 * {t} * {eta}) / (24 * (1 + {eta})) * {db} * pow({dl}, 2) + {n} * ({eta} - {eta} * {t}) / (8 * pow(1 + {eta}, 3)) * pow({db}, 3))"
+    return f"sqrt(pow({east}, 2) + pow({north}, 2))"
+
+
+@query(f"""WITH {L1}, r AS (SELECT k, radians(x0 / 10000.0::double) AS a, radians(y0 / 10000.0::double) AS b, radians(x1 / 10000.0::double) AS c, radians(y1 / 10000.0::double) AS e FROM l1)
+    SELECT k, round({_near_sql('a', 'b', 'c', 'b')} + {_near_sql('c', 'b', 'c', 'e')} + {_near_sql('c', 'e', 'a', 'e')} + {_near_sql('a', 'e', 'a', 'b')}, 3) AS metres FROM r""")
 def ellipsoid_length(spark, d):
     return _ringed(spark, d).select("k", F.round(measure.ellipsoid_path_length(F.col("ring")), 3).alias("metres"))
 
 
-@query()
+_A, _B = f"{measure.MAJOR!r}::double", f"{measure.MINOR!r}::double"
+_GK = f"""SELECT k, x, y, sin(b) AS sb, cos(b) AS cb, tan(b) AS tb, e, n, l * cos(b) AS m, pow(tan(b), 2) AS t, p * pow(cos(b), 2) AS h,
+        {_A} * ((1 - e / 4 - 3 * pow(e, 2) / 64 - 5 * pow(e, 3) / 256 - 175 * pow(e, 4) / 16384) * b - (3 * e / 8 + 3 * pow(e, 2) / 32 + 45 * pow(e, 3) / 1024 + 105 * pow(e, 4) / 4096) * sin(2 * b)
+        + (15 * pow(e, 2) / 256 + 45 * pow(e, 3) / 1024 + 525 * pow(e, 4) / 16384) * sin(4 * b) - (35 * pow(e, 3) / 3072 + 175 * pow(e, 4) / 12288) * sin(6 * b)) AS arc
+    FROM (SELECT *, radians(y) AS b, radians(x - meridian) AS l, {_A} / sqrt(1 - e * pow(sin(radians(y)), 2)) AS n
+        FROM (SELECT k, x0 / 10000.0::double AS x, y0 / 10000.0::double AS y, trunc((x0 / 10000.0::double + 6) / 6) * 6 - 3 AS meridian, 1 - pow({_B} / {_A}, 2) AS e, ({_A} * {_A} - {_B} * {_B}) / ({_B} * {_B}) AS p FROM l1))"""
+
+
+@query(f"""WITH {L1} SELECT k, round(500000 + n * m * (1 + pow(m, 2) * ((1 - t + h) / 6 + pow(m, 2) * (5 - 18 * t + t * t + 14 * h - 58 * t * h) / 120)), 3) AS east,
+    round(arc + n * tb * pow(m, 2) * (0.5::double + pow(m, 2) * ((5 - t + 9 * h + 4 * h * h) / 24 + pow(m, 2) * (61 - 58 * t + t * t) / 720)), 3) AS north FROM ({_GK})""")
 def gauss_kruger(spark, d):
     layer = synth.degrees(_layer(spark, d))
     east, north = measure.gauss_kruger(F.col("xmin"), F.col("ymin"), sheets.central_meridian("xmin"))
