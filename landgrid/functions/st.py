@@ -5,6 +5,7 @@ Null arguments give null. Text or bytes that are no geometry raise an error; st_
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landgrid.functions.grid import z_encode
 from landgrid.kernel import codecs, model, ops, projection
 from landgrid.kernel.model import Geometry
 
@@ -119,12 +121,17 @@ def st_make_envelope(xmin, ymin, xmax, ymax) -> Column:
 
 def st_make_line(points) -> Column:
     """From an array of structs (x, y)."""
-    return _udf(lambda ps: model.line([(p["x"], p["y"]) for p in ps]), G, 0, points)
+    return _udf(lambda ps: model.line([_place(p) for p in ps]), G, 0, points)
 
 
 def st_make_polygon(ring) -> Column:
     """From an array of structs (x, y), closed where it isn't."""
-    return _udf(lambda ps: model.polygon([(p["x"], p["y"]) for p in ps]), G, 0, ring)
+    return _udf(lambda ps: model.polygon([_place(p) for p in ps]), G, 0, ring)
+
+
+def _place(p) -> tuple[float, float]:
+    """Of a struct, which comes as a tuple where another of these functions made it."""
+    return (p["x"], p["y"]) if isinstance(p, dict) else (p[0], p[1])
 
 
 def st_points(g) -> Column:
@@ -346,14 +353,30 @@ def envelope_agg(box) -> list[Column]:
     return [F.min(box["xmin"]).alias("xmin"), F.min(box["ymin"]).alias("ymin"), F.max(box["xmax"]).alias("xmax"), F.max(box["ymax"]).alias("ymax")]
 
 
+_SIDE = 12  # bits of a place's row and column in the extent
+
+
 def _by_steps(df: DataFrame, keys: list[str], geom: str, agg: Callable, group: int) -> DataFrame:
-    """A group's geometries merge in lots of about ``group`` that lie together, until each key has one left."""
-    part = df.select(*keys, F.col(geom).alias("geom"), F.lit(0).cast("bigint").alias("lot"))
-    sizes = part.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while sizes > group:
-        lots = -(-sizes // group)
-        part = part.withColumn("lot", F.pmod(F.xxhash64("geom"), F.lit(lots))).groupBy(*keys, "lot").agg(agg("geom").alias("geom"))
-        sizes = min(lots, sizes - 1)
+    """A key's geometries merge with those that lie in the same cell of a quad tree over the extent, then with those of the cell above it.
+
+    A cell with more than ``group`` geometries goes to several tasks, so that no task holds many of them at once.
+    """
+    part = df.select(*keys, F.col(geom).alias("geom"))
+    most = part.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = min(_SIDE, math.ceil(math.log(max(1, most / group), 4)))
+    if depth:
+        part = part.withColumn("_b", st_envelope("geom")).withColumn("_x", F.col("_b.xmin") + F.col("_b.xmax")).withColumn("_y", F.col("_b.ymin") + F.col("_b.ymax"))
+        x0, x1, y0, y1 = part.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+        place = lambda c, lo, hi: F.coalesce(F.least(F.floor((F.col(c) - lo) / max(hi - lo, 1e-300) * (1 << _SIDE)), F.lit((1 << _SIDE) - 1)), F.lit(0))
+        part = part.withColumn("_z", z_encode(0, place("_y", y0 or 0.0, y1 or 0.0), place("_x", x0 or 0.0, x1 or 0.0))).select(*keys, "geom", "_z")
+    for level in range(depth, 0, -1):
+        cells = part.withColumn("_cell", F.shiftright("_z", 2 * (_SIDE - level)))
+        sizes = cells.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_cell").alias("_c")).agg(F.count("*").alias("_n"))
+        same = F.col("_cell") == F.col("_c")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        lots = cells.join(sizes, same).withColumn("_lot", F.pmod(F.xxhash64("geom"), F.ceil(F.col("_n") / group)))
+        part = lots.groupBy(*keys, "_cell", "_lot").agg(agg("geom").alias("geom")).select(*keys, "geom", F.shiftleft("_cell", 2 * (_SIDE - level)).alias("_z"))
     return part.groupBy(*keys).agg(agg("geom").alias(geom))
 
 

@@ -839,3 +839,6 @@ def feature_json_lines(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The rollup of category statistics with percentages."""
     return category_rollup_percent(spark, d)
+
+
+from landgrid.plans import service_queries, shape_queries  # noqa: E402, F401  they register theirs
