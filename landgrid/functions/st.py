@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landgrid.functions.grid import z_encode
-from landgrid.kernel import codecs, model, ops, projection
+from landgrid.kernel import batch, codecs, model, ops, projection
 from landgrid.kernel.model import Geometry
 
 G, B, S, D, I, BOOL = T.BinaryType(), T.BinaryType(), T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()  # noqa: E741
@@ -116,7 +116,11 @@ def st_point(x, y) -> Column:
 
 
 def st_make_envelope(xmin, ymin, xmax, ymax) -> Column:
-    return _udf(model.box, G, 0, xmin, ymin, xmax, ymax)
+    def call(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(batch.boxes(a, b, c, d), dtype=object).where(~(a.isna() | b.isna() | c.isna() | d.isna()), None)
+
+    call.__annotations__ = {n: pd.Series for n in "abcd"} | {"return": pd.Series}
+    return F.pandas_udf(call, G)(*(_col(v).cast("double") for v in (xmin, ymin, xmax, ymax)))
 
 
 def st_make_line(points) -> Column:
@@ -214,13 +218,34 @@ def _measure(f: Callable, kind: T.DataType) -> Callable:
     return measure
 
 
+def _batched(together: Callable, f: Callable, kind: T.DataType) -> Callable:
+    """Polygons of one ring are measured together as arrays, others one by one."""
+
+    def measure(g) -> Column:
+        def call(s: pd.Series):
+            raws = [None if v is None else bytes(v) for v in s]
+            out = [None] * len(raws)
+            for places, xy in batch.one_ring(raws):
+                for i, value in zip(places.tolist(), together(xy).tolist()):
+                    out[i] = value
+            for i, raw in enumerate(raws):
+                if raw is not None and out[i] is None:
+                    out[i] = f(codecs.from_wkb(raw))
+            return pd.DataFrame([(None,) * len(kind.fields) if v is None else v for v in out], columns=kind.names) if isinstance(kind, T.StructType) else pd.Series(out, dtype=object)
+
+        call.__annotations__ = {"s": pd.Series, "return": pd.DataFrame if isinstance(kind, T.StructType) else pd.Series}
+        return F.pandas_udf(call, kind)(_col(g))
+
+    return measure
+
+
 def _real(g: Geometry, which: int) -> float | None:
     return float(g.data[which]) if g.kind == "Point" and g.data and len(g.data) > which else None
 
 
-st_area = _measure(lambda g: float(ops.area(g)), D)
-st_length = _measure(lambda g: float(ops.length(g)), D)
-st_envelope = _measure(lambda g: g.envelope(), BOX)
+st_area = _batched(batch.areas, lambda g: float(ops.area(g)), D)
+st_length = _batched(batch.lengths, lambda g: float(ops.length(g)), D)
+st_envelope = _batched(batch.envelopes, lambda g: g.envelope(), BOX)
 st_centroid = _measure(ops.centroid, XY)
 st_label_point = _measure(ops.label_point, XY)
 st_convex_hull = _measure(lambda g: ops.convex_hull(g), G)
@@ -377,7 +402,9 @@ def _by_steps(df: DataFrame, keys: list[str], geom: str, agg: Callable, group: i
             same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
         lots = cells.join(sizes, same).withColumn("_lot", F.pmod(F.xxhash64("geom"), F.ceil(F.col("_n") / group)))
         part = lots.groupBy(*keys, "_cell", "_lot").agg(agg("geom").alias("geom")).select(*keys, "geom", F.shiftleft("_cell", 2 * (_SIDE - level)).alias("_z"))
-    return part.groupBy(*keys).agg(agg("geom").alias(geom))
+    # a given number of partitions stays: few rows may be much work
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return part.repartition(tasks, *keys).groupBy(*keys).agg(agg("geom").alias(geom))
 
 
 def dissolve(df: DataFrame, keys: list[str], geom: str = "geom", group: int = 512) -> DataFrame:

@@ -9,7 +9,7 @@ from landgrid.functions import codes, dimension, grid, reference, sheets, st, te
 from landgrid.operators import keyword, spatial, stats
 from landgrid.plans import synth
 from landgrid.plans.conditions import region_filters
-from landgrid.plans.queries import GRID, L1, RESUMS, _by_cell, _layer, _sheet_sql, level_sql, parent_sql, query
+from landgrid.plans.queries import L1, RESUMS, _by_cell, _layer, _sheet_sql, level_sql, parent_sql, query
 from landgrid.plans.service import FeatureService
 from landgrid.sources import json as feature_json
 from landgrid.sources import records, shapefile, sinks
@@ -194,11 +194,14 @@ def stored_index_join(spark, d):
     return found.filter(f"x0 < {_BOX[2]} and x1 > {_BOX[0]} and y0 < {_BOX[3]} and y1 > {_BOX[1]}").select("rowkey", "caption", "area")
 
 
-@query(f"""WITH {L1} SELECT cast(c AS bigint) AS cell_col, cast(r AS bigint) AS cell_row, count(*) AS n FROM (SELECT unnest(range((1800000 - y1) // {GRID}, (1800000 - y0 - 1) // {GRID} + 1)) AS r, x0, x1 FROM l1),
-    LATERAL (SELECT unnest(range(x0 // {GRID}, (x1 - 1) // {GRID} + 1)) AS c) GROUP BY ALL""")
+_CELL = 2000  # units of a stored cell
+
+
+@query(f"""WITH {L1} SELECT cast(c AS bigint) AS cell_col, cast(r AS bigint) AS cell_row, count(*) AS n FROM (SELECT unnest(range((1800000 - y1) // {_CELL}, (1800000 - y0 - 1) // {_CELL} + 1)) AS r, x0, x1 FROM l1),
+    LATERAL (SELECT unnest(range(x0 // {_CELL}, (x1 - 1) // {_CELL} + 1)) AS c) GROUP BY ALL""")
 def ingest_cells(spark, d):
     """Pieces stored by grid cell, counted by cell."""
-    found = sinks.ingest_cells(_degrees(spark, d), new_path(spark, "cells"), GRID / synth.UNIT)
+    found = sinks.ingest_cells(_degrees(spark, d), new_path(spark, "cells"), _CELL / synth.UNIT)
     return found.select(F.col("cell_col").cast("bigint").alias("cell_col"), F.col("cell_row").cast("bigint").alias("cell_row"), "n")
 
 

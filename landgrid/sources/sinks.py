@@ -75,7 +75,7 @@ def result_json(result: DataFrame | dict[str, str], at_most: int = 100_000) -> s
     """
     if isinstance(result, dict):
         return json.dumps(result)
-    rows = result.limit(at_most + 1).toJSON().collect()
+    rows = [r["row"] for r in result.limit(at_most + 1).select(F.to_json(F.struct("*")).alias("row")).collect()]
     if len(rows) > at_most:
         raise ValueError(f"more than {at_most} rows; write them to files and give their paths")
     return "[" + ",".join(rows) + "]"
