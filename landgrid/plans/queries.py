@@ -456,13 +456,13 @@ _SURFACE = f"""SELECT c.row, c.col, c.height, {' + '.join(f'sqrt(250000 + pow({_
 
 @query(f"WITH dem AS ({synth.RASTER}) SELECT row, col, round(surface, 6) AS surface FROM ({_SURFACE})")
 def dem_cell_surface(spark, d):
-    return raster.cell_surfaces(synth.raster(spark), GRID).select("row", "col", F.round("surface", 6).alias("surface"))
+    return raster.cell_surfaces(synth.raster(spark, d), GRID).select("row", "col", F.round("surface", 6).alias("surface"))
 
 
 @query(f"""WITH {L1}, dem AS ({synth.RASTER}), s AS ({_SURFACE}), p AS (SELECT surface, {synth.ORIGIN_X} + col * {GRID} + {GRID // 2} AS x, {synth.ORIGIN_Y + synth.SPAN} - row * {GRID} - {GRID // 2} AS y FROM s)
     SELECT category, round(sum(surface), 4) AS surface, count(*) AS cells FROM l1 JOIN p ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY category""")
 def surface_area_by_category(spark, d):
-    cells = raster.cell_surfaces(synth.raster(spark), GRID)
+    cells = raster.cell_surfaces(synth.raster(spark, d), GRID)
     centres = cells.select("surface", (F.col("col") * GRID + synth.ORIGIN_X + GRID // 2).alias("x"), (F.lit(synth.ORIGIN_Y + synth.SPAN - GRID // 2) - F.col("row") * GRID).alias("y"))
     found = jobs.surface_by_category(_layer(spark, d), centres)
     return found.select("category", F.round("surface", 4).alias("surface"), "cells")
@@ -783,9 +783,9 @@ def polygon_cut(spark, d):
     return found.select(_units(F.col("area")).alias("area"), "features")
 
 
-def _cells(spark) -> DataFrame:
+def _cells(spark, d) -> DataFrame:
     """Centres and surfaces of the raster's cells, in degrees."""
-    cells = raster.cell_surfaces(synth.raster(spark), GRID)
+    cells = raster.cell_surfaces(synth.raster(spark, d), GRID)
     x, y = F.col("col") * GRID + synth.ORIGIN_X + GRID // 2, F.lit(synth.ORIGIN_Y + synth.SPAN - GRID // 2) - F.col("row") * GRID
     return cells.select("surface", (x / synth.UNIT).alias("x"), (y / synth.UNIT).alias("y"))
 
@@ -796,7 +796,7 @@ _CENTRES = f"p AS (SELECT surface, {synth.ORIGIN_X} + col * {GRID} + {GRID // 2}
 @query(f"""WITH {L1}, dem AS ({synth.RASTER}), s AS ({_SURFACE}), {_CENTRES}
     SELECT substr(region12, 1, 6) AS region6, category, round(sum(surface), 4) AS surface, count(*) AS cells FROM l1 JOIN p ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY ALL""")
 def surface_area(spark, d):
-    found = overlay.surface_area(_shaped(spark, d), _cells(spark), 0.05)
+    found = overlay.surface_area(_shaped(spark, d), _cells(spark, d), 0.05)
     return found.select("region6", "category", F.round("surface", 4).alias("surface"), "cells")
 
 
@@ -804,7 +804,7 @@ def surface_area(spark, d):
     SELECT substr(region12, 1, 6) AS region6, category, round(sum(surface * (least(x1, x + {GRID // 2}) - greatest(x0, x - {GRID // 2})) * (least(y1, y + {GRID // 2}) - greatest(y0, y - {GRID // 2})) / {float(GRID * GRID)}), 1) AS surface
     FROM l1 JOIN p ON x + {GRID // 2} > x0 AND x - {GRID // 2} < x1 AND y + {GRID // 2} > y0 AND y - {GRID // 2} < y1 GROUP BY ALL""")
 def surface_area_prorated(spark, d):
-    found = overlay.surface_area(_shaped(spark, d), _cells(spark), 0.05, prorate=GRID / synth.UNIT)
+    found = overlay.surface_area(_shaped(spark, d), _cells(spark, d), 0.05, prorate=GRID / synth.UNIT)
     return found.select("region6", "category", F.round("surface", 1).alias("surface"))
 
 

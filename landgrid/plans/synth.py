@@ -5,6 +5,8 @@ Coordinates are integers of 1e-4 degrees, so that areas and sums are exact. A fe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,12 @@ def degrees(features: DataFrame) -> DataFrame:
     return features.withColumns({name: F.col(c) / F.lit(float(UNIT)) for name, c in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))})
 
 
-def raster(spark: SparkSession, n: int = 40) -> DataFrame:
-    """A square raster of n x n heights over the layers' extent; row 0 is the northernmost."""
-    cells = spark.range(n * n).select((F.col("id") / n).cast("bigint").alias("row"), (F.col("id") % n).alias("col"))
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square raster of heights; row 0 is the northernmost. 40 x 40 cells are over the layers' extent, and it grows south and east with the first layer."""
+    n = 40 * math.ceil(math.sqrt(max(1, spark.read.parquet(f"{sf_dir}/customer.parquet").count() / 1500)))
+    cells = spark.range(n * n).select(F.floor(F.col("id") / n).alias("row"), (F.col("id") % n).alias("col"))
     return cells.withColumn("height", ((F.col("row") * 37 + F.col("col") * 53) % 200).cast("double"))
 
 
-RASTER = "SELECT r AS row, c AS col, cast((r * 37 + c * 53) % 200 AS double) AS height FROM range(40) AS a(r), range(40) AS b(c)"
+_SIDE = "(SELECT unnest(range(cast(40 * ceil(sqrt(greatest(1, count(*) / 1500.0))) AS bigint))) AS {} FROM customer)"
+RASTER = f"SELECT r AS row, c AS col, cast((r * 37 + c * 53) % 200 AS double) AS height FROM {_SIDE.format('r')}, {_SIDE.format('c')}"
