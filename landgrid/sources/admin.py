@@ -37,7 +37,8 @@ def exists(spark: SparkSession, name: str) -> bool:
 
 
 def tables(spark: SparkSession, database: str | None = None) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables(database))
+    """Without views of the session."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
