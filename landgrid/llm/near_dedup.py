@@ -14,7 +14,8 @@ bucket. Clusters are the components of nodes of one bucket whose signatures agre
 the least similarity misses it by 4.6 standard deviations only. All members of a bucket meet a leader; then, in buckets
 that still span several clusters, all members outside the bucket's largest cluster meet all members, as every link that
 is left has an end outside. Large buckets have their members meet further leaders first, and then go to tasks by blocks
-of those outside and blocks of all; nothing is left out at any size. Searches give one link for each merger, not all
+of those outside and blocks of all; nothing is left out at any size. Within a task, members are compared where they share
+one of their rarest coordinates (or elements), as any pair of enough in common does. Searches give one link for each merger, not all
 pairs. Within a cluster, links are exact: inverted lists of the whole element sets give a node's common weight with all
 others at once, and the classes are the components of the pairs that reach the least similarity. Members of a cluster
 beyond a task meet their leader exactly, and those that aren't linked to it meet all members, in blocks as well.
@@ -39,10 +40,11 @@ from pyspark.sql import types as T
 from landgrid.llm.components import components
 from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, written
 
-BUCKET = 1024  # signatures of a block
+BUCKET = 8192  # signatures of a block
+FEW = 64  # signatures that are compared without lists of the rarest coordinates
 MASK = (1 << 64) - 1
 LEADERS = 3  # that members of buckets with more than a block outside the largest cluster meet before blocks meet
-TASK_BYTES = 4 << 20  # of element sets that a task searches, and of a block of a larger cluster
+TASK_BYTES = 4 << 20  # of element sets of clusters that a task searches; a larger cluster goes by blocks of twice as many
 SEEN = 100_000  # texts that a task remembers so as not to sign their copies again
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,11 +265,20 @@ class _Merging:
         return int(np.argmax(self.size))
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after another."""
+    last = np.cumsum(lengths)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(starts - (last - lengths), lengths)
+
+
 def links(sets: list[bytes], percent: int, label: np.ndarray | None = None, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of element sets of at least the similarity that join them into their components (a spanning forest).
 
     Every link between two components has an end outside the largest, so that only members outside it are compared
     with all. label: components that are known; asking: only members marked are compared with all.
+
+    Sets of the least similarity share an element among their rarest ones, those before the weight that each may lack in
+    common with the other: only sets that meet in those lists are compared, as what all have in common is in none of them.
     """
     n = len(sets)
     runs, weights = map(list, zip(*map(_weights_of, sets)))
@@ -276,22 +287,35 @@ def links(sets: list[bytes], percent: int, label: np.ndarray | None = None, aski
     ids = np.unique(np.concatenate(runs), return_inverse=True)[1].astype(np.int32)
     weight = np.concatenate(weights).astype(np.int32)
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    listed = np.argsort(ids, kind="stable").astype(np.int32)
-    counts = np.bincount(ids)
-    begins = np.cumsum(counts) - counts
+    rarest = np.lexsort((ids, np.bincount(ids)[ids], owner))
+    ids, weight = ids[rarest], weight[rarest]
     ends = np.cumsum(sizes)
+    begins = ends - sizes
+    upto = np.cumsum(weight, dtype=np.int64) - weight
+    spare = total - (percent * total + 99) // 100  # weight that a set may lack in common with a similar one
+    early = upto - np.repeat(upto[begins], sizes) <= spare[owner]
+    heads = np.bincount(owner[early], minlength=n)
+    listed = np.flatnonzero(early)
+    listed = listed[np.argsort(ids[listed], kind="stable")]
+    counts = np.bincount(ids[listed], minlength=int(ids.max(initial=-1)) + 1)
+    firsts, listed = np.cumsum(counts) - counts, owner[listed]
+    own = np.zeros(len(counts), np.int32)  # the weights of the set that is compared
     merging, done, found = _Merging(n, label), np.zeros(n, bool), []
 
     def compare(i: int) -> None:
         done[i] = True
-        own = slice(ends[i] - sizes[i], ends[i])
-        lengths = counts[ids[own]]
-        last = np.cumsum(lengths)
-        places = listed[np.arange(last[-1]) + np.repeat(begins[ids[own]] - (last - lengths), lengths)] if len(last) else listed[:0]
-        common = np.bincount(owner[places], np.minimum(weight[places], np.repeat(weight[own], lengths)), minlength=n)
-        near = 100 * common >= percent * (total[i] + total - common)
-        near[i] = False
-        found.extend((i, j) for j in merging.link(i, np.flatnonzero(near)))
+        met = listed[_ranges(firsts[ids[begins[i] : begins[i] + heads[i]]], counts[ids[begins[i] : begins[i] + heads[i]]])]
+        others = np.unique(met[merging.of[met] != merging.of[i]])
+        others = others[100 * np.minimum(total[others], total[i]) >= percent * np.maximum(total[others], total[i])]
+        if not len(others):
+            return
+        all_own = slice(begins[i], ends[i])
+        own[ids[all_own]] = weight[all_own]
+        places = _ranges(begins[others], sizes[others])
+        common = np.add.reduceat(np.minimum(weight[places], own[ids[places]]), np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        own[ids[all_own]] = 0
+        near = 100 * common >= percent * (total[i] + total[others] - common)
+        found.extend((i, j) for j in merging.link(i, others[near]))
 
     if asking is not None:
         for i in np.flatnonzero(asking).tolist():
@@ -366,16 +390,38 @@ def _met_leader(percent: int):
     return rows
 
 
+def _rarest_lists(sig: np.ndarray, least: int):
+    """others(i): the rows that may agree with row i in so many coordinates: they share one of its rarest values.
+
+    In a bucket whose members have a passage in common, its coordinates are in no list, and what is left is short.
+    """
+    n, k = sig.shape
+    token, count, many = np.empty((n, k), np.int64), np.empty((n, k), np.int64), 0
+    for c in range(k):
+        _, token[:, c], times = np.unique(sig[:, c], return_inverse=True, return_counts=True)
+        count[:, c] = times[token[:, c]]
+        token[:, c] += many
+        many += len(times)
+    head = np.take_along_axis(token, np.argsort(count * many + token, axis=1)[:, : k - least + 1], axis=1)
+    listed = np.argsort(head, axis=None, kind="stable")
+    counts = np.bincount(head.ravel(), minlength=many)
+    firsts, listed = np.cumsum(counts) - counts, listed // head.shape[1]
+    return lambda i: np.unique(listed[_ranges(firsts[head[i]], counts[head[i]])])
+
+
 def _searched(k: int, least: int):
-    """Links that merge the clusters of a bucket's nodes, by their signatures: the asking ones are compared with all."""
+    """Links that merge the clusters of a bucket's nodes, by their signatures: the asking ones are compared with all that may agree."""
 
     def one(table: pa.Table) -> pa.Table:
         hold("near")
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, k)
         node, label = _ints(table, "node"), _ints(table, "label")
         merging, a, b = _Merging(len(node), label), [], []
+        every = np.arange(len(node))
+        maybe = _rarest_lists(sig, least) if len(node) > FEW else lambda i: every
         for i in np.flatnonzero(_ints(table, "asking")).tolist():
-            others = np.flatnonzero(merging.of != merging.of[i])
+            others = maybe(i)
+            others = others[merging.of[others] != merging.of[i]]
             others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
             for j in merging.link(i, others):
                 a.append(int(node[i]))
@@ -446,7 +492,7 @@ def _classes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("cluster").agg(F.sum("bytes").alias("total"))
     tasks = max(1, math.ceil((sizes.agg(F.sum("total")).first()[0] or 0) / TASK_BYTES))
     kind = "a long, b long"
-    large = written(sizes.filter(F.col("total") > TASK_BYTES), "near-large")
+    large = written(sizes.filter(F.col("total") > 2 * TASK_BYTES), "near-large")
     some_large = not large.isEmpty()
     small = rows.join(large.select("cluster"), "cluster", "left_anti") if some_large else rows
     found = small.select("cluster", "node", "runs", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task")).groupBy("task").applyInArrow(_linked(percent), kind)
@@ -458,7 +504,7 @@ def _classes(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     starred = written(met.mapInArrow(_met_leader(percent), "node long, lead long"), "near-met")
     rows = rows.join(starred, "node", "left").withColumn("asking", F.col("lead").isNull() & (F.col("node") != F.col("cluster"))).withColumn("label", F.coalesce("lead", "node")).drop("lead")
     outside = rows.groupBy("cluster").agg(F.sum(F.when(F.col("asking"), F.col("bytes")).otherwise(0)).alias("outside")).filter("outside > 0")
-    rows = across(rows.join(outside, "cluster"), F.ceil(F.col("outside") / TASK_BYTES), F.ceil(F.col("total") / TASK_BYTES))
+    rows = across(rows.join(outside, "cluster"), F.ceil(F.col("outside") / (2 * TASK_BYTES)), F.ceil(F.col("total") / (2 * TASK_BYTES)))
     rows = rows.select("cluster", "ask_block", "all_block", "node", "label", "runs", F.col("asking").cast("int").alias("asking"))
     found = found.unionByName(starred.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     return components(written(found.unionByName(rows.groupBy("cluster", "ask_block", "all_block").applyInArrow(_linked_across(percent), kind)), "near-found"))

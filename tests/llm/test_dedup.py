@@ -13,7 +13,7 @@ from landgrid.llm import queries
 from landgrid.llm.bwt import repeated_starts
 from landgrid.llm.components import components
 from landgrid.llm.exact_dedup import Chains, ExtendibleDirectory, exact_dedup
-from landgrid.llm.near_dedup import Shingler, links, near_dedup, signatures
+from landgrid.llm.near_dedup import Shingler, _rarest_lists, links, near_dedup, signatures
 from landgrid.llm.suffix_dedup import anchors, halves, kept_bytes, removed_runs, suffix_dedup, without_repeats
 from tests.llm.conftest import ODD, prose
 
@@ -339,3 +339,16 @@ def test_near_larger_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted(((r.doc_id, r.class_id, r.class_size) for r in queries.op7_near_dedup(spark, folder).collect()), key=repr)
     assert found == expected_near(rows)
+
+
+def test_rarest_lists_spare_what_all_have_in_common():
+    """Signatures that share 30 of 72 coordinates, and some 41: those few meet, and no pair is lost."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 30, (400, 72)).astype(np.int32)
+    sig[:, :30] = sig[0, :30]
+    for i in range(0, 100, 2):
+        sig[i + 1, 30 : 41 + i % 3] = sig[i, 30 : 41 + i % 3]
+    others = _rarest_lists(sig, 41)
+    met = {(i, j) for i in range(400) for j in others(i).tolist() if i < j}
+    assert {(i, j) for i in range(400) for j in range(i + 1, 400) if (sig[i] == sig[j]).sum() >= 41} <= met
+    assert len(met) < 400  # of 79,800 pairs
