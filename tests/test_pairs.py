@@ -8,6 +8,7 @@ import pytest
 from landgrid.functions import st
 from landgrid.kernel import batch, codecs, model, ops
 from landgrid.kernel.pairs import Pairs
+from landgrid.plans import queries, service_queries  # noqa: F401
 
 SET_OPERATIONS = ((ops.intersection, operator.and_), (ops.union, operator.or_), (ops.difference, operator.gt), (ops.symmetric_difference, operator.xor))
 
@@ -99,3 +100,12 @@ def test_buffers_and_tiles_of_boxes(spark):
             assert ops.area(got) == pytest.approx(ops.area(want)) and ops.area(ops.symmetric_difference(got, want)) == pytest.approx(0, abs=1e-3)
         assert [codecs.from_wkb(bytes(t)).envelope() for t in found[i].t] == [t.envelope() for t in ops.tiles(g, 100.0)]
     assert found[9].w is None and found[9].t is None
+
+
+def test_polygon_list_leaves_out_what_only_touches_the_slanted_side(spark, tmp_path):
+    at = [((k * 7919) % 20_000, (k * 104_729) % 20_000, k) for k in range(60_000)]
+    touching = [k for x, y, k in at if x >= 3000 and y >= 3000 and x + y == 15_000][:3]
+    inside = [k for x, y, k in at if x >= 3000 and y >= 3000 and x + y < 14_000][:3]
+    spark.createDataFrame([(k, f"Customer#{k}") for k in touching + inside], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = service_queries.service_polygon_list(spark, str(tmp_path)).collect()
+    assert len(touching) == 3 and sorted(int(r.rowkey[-8:]) for r in found) == sorted(inside)
