@@ -4,9 +4,12 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from landgrid.functions import st
 from landgrid.kernel import codecs, model, ops
 from landgrid.kernel.cuts import cuts
+from landgrid.plans import queries, shape_queries  # noqa: F401
 
 
 def couples(n: int, unit: float) -> list:
@@ -45,3 +48,17 @@ def test_columns_cut(spark):
     for i, p in enumerate(given):
         assert [(r.side, bytes(r.geom)) for r in found[i]] == [(side, codecs.to_wkb(part)) for side, part in ops.cut(*p)], i
     assert found[999] is None
+
+
+def test_areas_of_arrays(spark):
+    shapes = [codecs.from_wkt(t) for t in ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON Z ((0 0 1, 4 0 1, 0 4 1, 0 0 1))", "POLYGON EMPTY", "LINESTRING (0 0, 1 1)")]
+    raws = [bytearray(codecs.to_wkb(g)) for g in shapes]
+    df = spark.createDataFrame([(1, raws), (2, None), (3, []), (4, [raws[1], None, raws[0]])], "i int, g array<binary>").coalesce(1)
+    assert {r.i: r.a for r in df.select("i", st.st_areas("g").alias("a")).collect()} == {1: [16.0, 8.0, 0.0, 0.0], 2: None, 3: [], 4: [8.0, None, 16.0]}
+
+
+def test_rows_of_one_key_are_cut_each(spark, tmp_path):
+    spark.createDataFrame([(7, "a"), (7, "b"), (8, "c")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = shape_queries.concave_cut(spark, str(tmp_path)).groupBy("k", "both", "lower").agg(F.count("*").alias("n")).collect()
+    w, h = {k: 50 + k * 31 % 450 for k in (7, 8)}, {k: 50 + k * 17 % 450 for k in (7, 8)}
+    assert {tuple(r) for r in found} == {(k, w[k] * 25 + 25 * (h[k] - 25), (w[k] - 25) * 25, n) for k, n in ((7, 2), (8, 1))}
