@@ -37,7 +37,8 @@ from landgrid.llm.near_dedup import mix
 from landgrid.llm.shared import Scratch, body, hold, key_bitmap, tidy, unused, written
 
 GRAM = 32
-CHUNK = 1 << 18  # bytes hashed at once
+CHUNK = 1 << 18  # bytes of segments given on at once
+HASHED = 1 << 16  # bytes hashed at once; some 120 bytes of arrays for each
 TASK_BYTES = 1 << 20
 MOST_BYTES = 2 << 20
 POINT = np.uint64(0xD6E8FEB86659FD93)
@@ -51,7 +52,7 @@ def gram_size(least: int) -> int:
     return 1 << (min(GRAM, least).bit_length() - 1)
 
 
-def anchors(texts: list[bytes], least: int) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes | memoryview], least: int) -> tuple[np.ndarray, ...]:
     """Text number, hash, first window, number of windows and place (from the first window's start) of each anchor; texts together under 16 MB."""
     raw = VALUES[np.frombuffer(b"".join(texts), np.uint8)]
     factor, size = int(POINT), 1
@@ -85,17 +86,18 @@ def _find_anchors(least: int):
         seen: set[bytes] = set()
         for batch in batches:
             keys, texts, held = [], [], 0
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
+            for key, value in zip(batch.column("key").to_pylist(), batch.column("t")):
+                text = memoryview(value.as_buffer())  # of the batch; nothing is copied
                 if len(text) < least or key in seen:
                     continue
                 if len(seen) > 300_000:
                     seen.clear()
                 seen.add(key)
-                for a in range(0, len(text) - least + 1, CHUNK):  # parts overlap so that each window is in one
-                    if held + len(text) - a > CHUNK and texts:
+                for a in range(0, len(text) - least + 1, HASHED):  # parts overlap so that each window is in one
+                    if held + len(text) - a > HASHED and texts:
                         yield _anchor_rows(keys, texts, least)
                         keys, texts, held = [], [], 0
-                    part = text[a : a + CHUNK + least - 1]
+                    part = text[a : a + HASHED + least - 1]
                     keys.append((key, a))
                     texts.append(part)
                     held += len(part)
@@ -120,7 +122,7 @@ def _anchor_rows(keys, texts, least: int) -> pa.RecordBatch:
     for i, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         alike: dict[bytes, list[int]] = {}
         for j in range(i, i + n):
-            alike.setdefault(texts[text[j]][first[j] : first[j] + windows[j] - 1 + least], []).append(j)
+            alike.setdefault(bytes(texts[text[j]][first[j] : first[j] + windows[j] - 1 + least]), []).append(j)
         several += alike.values()
     rows = np.concatenate([single, np.array([own[0] for own in several], np.int64)])
     flat = np.concatenate([single, *(np.array(own, np.int64) for own in several)])
