@@ -573,8 +573,7 @@ _BOTH = _PAIRS.replace("l1.category AS category1", "l1.area AS area1, l2.area AS
 
 @query(f"WITH {L1}, {L2} SELECT key1 AS rowkey, key2 AS other, overlap AS common, area1 + area2 - overlap AS joined, area1 - overlap AS rest, area1 + area2 - 2 * overlap AS either FROM ({_BOTH})")
 def st_set_operations(spark, d):
-    whole = lambda f, name: F.round(st.st_area(f("geom", "geom2"))).cast("bigint").alias(name)
-    return _met(spark, d).select("rowkey", "other", whole(st.st_intersection, "common"), whole(st.st_union, "joined"), whole(st.st_difference, "rest"), whole(st.st_sym_difference, "either"))
+    return framed.areas(*_both(spark, d), _PAIR, common="intersection", joined="union", rest="difference", either="sym_difference")
 
 
 _HOLD = "l2.x0 >= l1.x0 AND l2.x1 <= l1.x1 AND l2.y0 >= l1.y0 AND l2.y1 <= l1.y1"
