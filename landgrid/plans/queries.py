@@ -563,11 +563,6 @@ def _both(spark, d) -> tuple[DataFrame, DataFrame]:
     return _whole(spark, d).select("rowkey", "geom", "x0", "y0", "x1", "y1"), jobs.other(_whole(spark, d, 2), rowkey="other", geom="geom2")
 
 
-def _met(spark, d) -> DataFrame:
-    """Pairs of the layers whose envelopes meet, with both geometries in integer units."""
-    return spatial.overlap_join(*_both(spark, d))
-
-
 _BOTH = _PAIRS.replace("l1.category AS category1", "l1.area AS area1, l2.area AS area2, l1.category AS category1")
 
 
@@ -583,11 +578,7 @@ _HELD = "l1.x0 >= l2.x0 AND l1.x1 <= l2.x1 AND l1.y0 >= l2.y0 AND l1.y1 <= l2.y1
 @query(f"""WITH {L1}, {L2} SELECT l1.rowkey, l2.rowkey AS other, true AS meets, {_HOLD} AS holds, {_HELD} AS held, NOT ({_HOLD}) AND NOT ({_HELD}) AS overlaps, false AS touches, false AS apart,
     ({_HOLD}) AND ({_HELD}) AS same FROM l1 JOIN l2 ON l1.x0 < l2.x1 AND l2.x0 < l1.x1 AND l1.y0 < l2.y1 AND l2.y0 < l1.y1""")
 def st_relations(spark, d):
-    g = ("geom", "geom2")
-    return _met(spark, d).select(
-        "rowkey", "other", st.st_intersects(*g).alias("meets"), st.st_contains(*g).alias("holds"), st.st_within(*g).alias("held"), st.st_overlaps(*g).alias("overlaps"),
-        st.st_touches(*g).alias("touches"), st.st_disjoint(*g).alias("apart"), st.st_equals(*g).alias("same"),
-    )
+    return framed.relations(*_both(spark, d), _PAIR, meets="intersects", holds="contains", held="within", overlaps="overlaps", touches="touches", apart="disjoint", same="equals")
 
 
 _WITHIN, _AROUND_IT = "l1.x0 >= l2.x0 AND l1.x1 <= l2.x1 AND l1.y0 >= l2.y0 AND l1.y1 <= l2.y1", "l2.x0 >= l1.x0 AND l2.x1 <= l1.x1 AND l2.y0 >= l1.y0 AND l2.y1 <= l1.y1"
