@@ -59,7 +59,7 @@ def test_boxes_that_only_touch_or_are_apart(spark):
     assert all(framed.MATRICES[r["kind"]] == r["m"] for r in rows) and {r["m"] for r in rows} >= {"FF2FF1212", "FF2F01212", "FF2F11212"}
 
 
-@pytest.mark.parametrize("name", ["st_relate", "st_set_operations", "st_relations", "frame_set_operations"])
+@pytest.mark.parametrize("name", ["st_relate", "st_set_operations", "st_relations", "frame_set_operations", "frame_relations"])
 def test_no_pair_of_frames_goes_to_python(spark, data, name):
     """One of the three joins has no Python worker above it, and geometries in none of its columns."""
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan()
